@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from statutor.llm.common import table
 from statutor.llm.distinctive import index_terms
 from statutor.llm.leakage import find_leaks
+from statutor.llm.mixture import mix
+from statutor.llm.neardup import NearDuplicates
+from statutor.llm.ocr import RepairedPages
 from statutor.llm.pieces import section_audit, split_oversized
 from statutor.llm.repetition import measure_repetition
 from statutor.llm.survivor import ordinance_groups, ordinance_survivors
@@ -32,6 +35,18 @@ def p1_section_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return section_audit(table(spark, sf_dir, "corpus_index"), texts, pieces)
 
 
+def repaired(spark: SparkSession, sf_dir: str) -> RepairedPages:
+    return RepairedPages(*(table(spark, sf_dir, t) for t in ("pages_in", "ordinances_eda_summary_all", "clean_text")))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(spark, sf_dir).found.select("page_id", F.col("line_no").cast("long").alias("line_no"), "kind", "word").distinct()
+
+
+def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(spark, sf_dir).paragraphs()
+
+
 def p3_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index_terms(table(spark, sf_dir, "corpus_index"))
 
@@ -53,6 +68,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.filter("n_records >= 2").select("group_seq", "best_seq", "title_seq", F.col("approval_date_seq").alias("approval_seq"))
 
 
+def near_duplicates(spark: SparkSession, sf_dir: str) -> NearDuplicates:
+    return NearDuplicates(table(spark, sf_dir, "clean_text"), "text_id", "clean_text", words=3, threshold=0.7, min_words=40)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark, sf_dir).pairs()
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark, sf_dir).groups()
+
+
 def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
 
@@ -61,6 +88,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[1]
+
+
 def p8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure_repetition(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -70,7 +105,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p1_section_audit, p3_found, p3_terms, p4_found, p4_groups, p4_survivors, p6_found, p6_leaks, p8_found, p8_repetition)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_section_audit, p2_found, p2_paragraphs, p3_found, p3_terms, p4_found, p4_groups, p4_survivors, p5_found, p5_groups, p6_found, p6_leaks, p7_mix, p7_shares, p8_found, p8_repetition)}
 
 
 def oracle_sql() -> dict[str, str]:
