@@ -24,7 +24,9 @@ def distinctive_terms(df: DataFrame, key: str, texts: list[Column], prior: float
     counts are aggregated before they are shuffled and joined back by ``join_term_stats``, so a term in every record is
     no hot key.
     """
-    rows = df.filter(F.col(key).isNotNull()).select(F.col(key), F.explode(F.concat(*(terms(t) for t in texts))).alias("term"), F.monotonically_increasing_id().alias("_row"))
+    # rows are numbered before they are taken apart, so that a term's count is that of one row
+    rows = df.filter(F.col(key).isNotNull()).select(F.col(key), F.concat(*(terms(t) for t in texts)).alias("_terms"), F.monotonically_increasing_id().alias("_row"))
+    rows = rows.select(key, "_row", F.explode("_terms").alias("term"))
     each = rows.groupBy(key, "_row", "term").agg(F.count("*").alias("c")).groupBy(key, "term").agg(F.max("c").alias("n_in_record"))
     sizes = each.groupBy(key).agg(F.sum("n_in_record").alias("_size"))
     stats = each.groupBy("term").agg(F.count("*").alias("n_records"), F.sum("n_in_record").alias("_all"))
