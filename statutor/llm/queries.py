@@ -15,7 +15,7 @@ from statutor.llm.neardup import NearDuplicates
 from statutor.llm.ocr import RepairedPages
 from statutor.llm.pieces import section_audit, split_oversized
 from statutor.llm.repetition import measure_repetition
-from statutor.llm.survivor import ordinance_groups, ordinance_survivors
+from statutor.llm.survivor import NO_TITLE, ordinance_groups, ordinance_survivors
 
 LIMIT, OVERLAP = 6000, 200
 
@@ -109,4 +109,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+_STAND_INS = ", ".join(f"'{t}'" for t in NO_TITLE)
+_REAL = rf"regexp_replace(lower(title), '[^\p{{L}}]+', '', 'g') NOT IN ({_STAND_INS})"
+_TERMS = rf"""(SELECT DISTINCT scan_seq, unnest(regexp_extract_all(CASE WHEN {_REAL} THEN lower(title) ELSE '' END || ' ' || lower(coalesce(subject_keywords, '')), '[a-z]{{4,}}')) term FROM corpus_index)"""
+# Numbers as in number_key: words away, dashes alike, letters for digits, number and year as integers.
+_NUMBER = r"""(SELECT *, regexp_extract(t, '^\D*?([0-9OolI|]{1,6})-+([0-9OolI|]{2}|[0-9OolI|]{4})\W*$', 1) a, regexp_extract(t, '^\D*?([0-9OolI|]{1,6})-+([0-9OolI|]{2}|[0-9OolI|]{4})\W*$', 2) b
+ FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(translate(translate(coalesce(ordinance_number, ''), '０１２３４５６７８９－', '0123456789-'), '–—‐‑_/', '------'), '(?i)ordinances?|\bord\b\.?|\bnos?\b\.?|\bnumber\b|series|\bof\b|[#,]', ' ', 'g'), '\s*-\s*', '-', 'g'), '([0-9OolI|])\s+([0-9OolI|])', '\1-\2', 'g') t FROM ordinances_eda_summary_all))"""
+_KEYED = rf"""(SELECT *, CASE WHEN a <> '' THEN 'n' || translate(a, 'OolI|', '00111')::INT || '-' || (CASE WHEN length(b) = 4 THEN 0 WHEN translate(b, 'OolI|', '00111')::INT <= 35 THEN 2000 ELSE 1900 END + translate(b, 'OolI|', '00111')::INT) END num,
+ CASE WHEN trim(coalesce(file_hash, '')) <> '' AND coalesce(char_count, 1) <> 0 THEN 'h' || lower(trim(file_hash)) END hash FROM {_NUMBER})"""
+_WORDS = r"regexp_extract_all(regexp_replace(replace(lower(text), chr(173), ''), '-[ \t]*\r?\n[ \t]*', '', 'g'), '[\p{L}\p{N}]+')"
+
+SQL = {
+    "p3_found": f"SELECT scan_seq, term FROM {_TERMS} QUALIFY count(*) OVER (PARTITION BY term) BETWEEN 2 AND 5",
+    "p4_found": f"""WITH RECURSIVE k AS MATERIALIZED {_KEYED}, e AS MATERIALIZED (SELECT scan_seq s, num key FROM k WHERE num IS NOT NULL UNION SELECT scan_seq, hash FROM k WHERE hash IS NOT NULL),
+ near AS MATERIALIZED (SELECT DISTINCT x.s a, y.s b FROM e x JOIN e y USING (key)), reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b),
+ g AS (SELECT a s, min(b) group_seq FROM reach GROUP BY a), r AS (SELECT k.*, group_seq, CASE WHEN confidence_score BETWEEN 0 AND 1 THEN confidence_score END c, CASE WHEN page_count >= 1 THEN page_count END p FROM k JOIN g ON g.s = k.scan_seq),
+ o AS (SELECT *, row_number() OVER (PARTITION BY group_seq ORDER BY c DESC NULLS LAST, p DESC NULLS LAST, run_at DESC NULLS LAST, scan_seq) place FROM r)
+SELECT group_seq, arg_min(scan_seq, place) AS best_seq, coalesce(arg_min(scan_seq, place) FILTER ({_REAL}), 0) AS title_seq, coalesce(arg_min(scan_seq, place) FILTER (trim(coalesce(approval_date, '')) <> ''), 0) AS approval_seq FROM o GROUP BY group_seq HAVING count(DISTINCT scan_seq) >= 2""",
+    "p5_found": r"""WITH w AS (SELECT text_id, regexp_extract_all(lower(clean_text), '[\p{L}\p{N}]+') l FROM clean_text), g AS (SELECT DISTINCT text_id, list_slice(l, i, i + 2) x FROM (SELECT text_id, l, unnest(range(1, len(l) - 1)) i FROM w WHERE len(l) >= 40)),
+ n AS (SELECT text_id, count(*) c FROM g GROUP BY text_id), common AS (SELECT a.text_id ta, b.text_id tb, count(*) c FROM g a JOIN g b ON a.x = b.x AND a.text_id < b.text_id GROUP BY ALL)
+SELECT ta AS text_a, tb AS text_b FROM common JOIN n p ON p.text_id = ta JOIN n q ON q.text_id = tb WHERE common.c >= 0.7::DOUBLE * (p.c + q.c - common.c) - 1e-9""",
+    "p6_found": f"""WITH d AS (SELECT doc_id, list_slice(l, i, i + 11) x FROM (SELECT doc_id, l, unnest(range(1, len(l) - 10)) i FROM (SELECT doc_id, {_WORDS} l FROM documents) WHERE len(l) >= 12)),
+ e AS (SELECT item_id, list_slice(l, i, i + 11) x FROM (SELECT item_id, l, unnest(range(1, len(l) - 10)) i FROM (SELECT item_id, {_WORDS} l FROM eval_items) WHERE len(l) >= 12)) SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (x)""",
+    "p8_found": r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') l FROM documents), g AS (SELECT doc_id, i, list_slice(l, i, i + 5) x FROM (SELECT doc_id, l, unnest(range(1, len(l) - 4)) i FROM w WHERE len(l) >= 12)),
+ again AS (SELECT doc_id, i FROM g QUALIFY i > min(i) OVER (PARTITION BY doc_id, x)), hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + 6)) p FROM again) SELECT doc_id FROM (SELECT doc_id, count(*) n FROM hit GROUP BY doc_id) JOIN w USING (doc_id) WHERE n >= 0.4::DOUBLE * len(l)""",
+    "p8_repetition": r"""WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(lower(text), '\p{L}+'), []) l FROM documents), g AS (SELECT doc_id, i, list_slice(l, i, i + 5) x FROM (SELECT doc_id, l, unnest(range(1, len(l) - 4)) i FROM w WHERE len(l) >= 6)),
+ again AS (SELECT doc_id, i FROM g QUALIFY i > min(i) OVER (PARTITION BY doc_id, x)), hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + 6)) p FROM again), c AS (SELECT doc_id, count(*) n FROM hit GROUP BY doc_id)
+SELECT doc_id, len(l)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_repeated, coalesce(n, 0) / greatest(1, len(l))::DOUBLE AS share_repeated FROM w LEFT JOIN c USING (doc_id)""",
+}
