@@ -53,9 +53,11 @@ TITLE = r"(an?\s+ordinance\b[\s\S]{0,900}?)(?=\n\s*\n|\bbe\s+it\s+ordained\b|\bw
 SECTION = r"(?m)^\s*sec(?:tion|\.)?\s*\d+"
 WHEREAS = r"\bwhereas\b"
 SPONSOR = r"(?:sponsor|author|proponent)s?\s*[:\-]\s*([^\n]{3,120})"
-NAME_ABOVE = r"([a-z][a-z.\-]+(?:\s+[a-z][a-z.\-]+){1,4})\s*\n\s*"
-MAYOR = NAME_ABOVE + r"(?:city\s+mayor|acting\s+mayor)"
-PRESIDING = NAME_ABOVE + r"(?:city\s+vice[\s\-]?mayor|presiding\s+officer)"
+NAME_ABOVE = r"(?<![a-z])([a-z][a-z.\-]++(?:\s++[a-z][a-z.\-]++){1,4})\s*\n\s*"  # possessive within a word, from a word's beginning: as the plain pattern, but without trying again
+MAYOR_OFFICE = r"(?:city\s+mayor|acting\s+mayor)"
+PRESIDING_OFFICE = r"(?:city\s+vice[\s\-]?mayor|presiding\s+officer)"
+MAYOR = NAME_ABOVE + MAYOR_OFFICE
+PRESIDING = NAME_ABOVE + PRESIDING_OFFICE
 AMENDATORY = r"\bamend(?:ing|ed|atory)\b"
 TITLE_NOISE = r",?\s*(?:series\s+of\s+(?:19|20)\d{2}|as\s+amended|and\s+for\s+other\s+purposes)"
 PAGE_FURNITURE = r"^\s*(?:-\s*\d+\s*-|\[?\d{1,3}\]?|page\s+\d+(?:\s+of\s+\d+)?|p\.\s*\d+|\d+\s*\|\s*page)\s*$"

@@ -38,6 +38,7 @@ def metadata(text: Column, clean_text: Column, own_number: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     given = lambda c: F.coalesce(strip(c), F.lit(""))
     enacted, approved = full_dates(t)
+    signed = lambda name, office: F.when(t.rlike(X.FLAGS + r"\n\s*" + office), only_first(t, name))
     found = F.struct(title(t).alias("name"), cited_numbers(t, own_number).alias("cited"))
 
     def flat(f: Column) -> Column:
@@ -45,7 +46,7 @@ def metadata(text: Column, clean_text: Column, own_number: Column) -> Column:
             f["name"].alias("title"), F.array_join(F.slice(f["cited"], 1, LISTED), "; ").alias("cited_ordinances"), F.size(f["cited"]).alias("cited_ordinance_count"),
             f["name"].rlike(X.FLAGS + X.AMENDATORY).alias("is_amendatory"), only_first(header(t), X.COUNCIL).try_cast("int").alias("council_term"),
             given(only_first(header(t), X.SESSION, 0)).alias("session_label"), given(only_first(t, X.SPONSOR)).alias("sponsor"),
-            given(only_first(t, X.MAYOR)).alias("approving_mayor"), given(only_first(t, X.PRESIDING)).alias("presiding_officer"),
+            given(signed(X.MAYOR, X.MAYOR_OFFICE)).alias("approving_mayor"), given(signed(X.PRESIDING, X.PRESIDING_OFFICE)).alias("presiding_officer"),
             F.regexp_count(clean_text, F.lit(X.FLAGS + X.SECTION)).alias("section_count"), F.regexp_count(clean_text, F.lit(X.FLAGS + X.WHEREAS)).alias("whereas_count"),
             F.array_join(keywords(f["name"]), "; ").alias("subject_keywords"), enacted.alias("enactment_date"), approved.alias("approval_date"),
         )

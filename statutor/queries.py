@@ -19,7 +19,7 @@ from statutor.operators.audit import apply_overrides, audit, debug_headers, over
 from statutor.plans.views import live
 from statutor.sources import overrides as O
 from statutor.sources.documents import documents_from_pages, page_counts
-from statutor.sources.tables import orders_corpus, table
+from statutor.sources.tables import orders_corpus, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,7 +46,7 @@ def index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def legal(spark: SparkSession, d: str) -> DataFrame:
-    return orders_corpus(table(spark, d, "orders"))
+    return orders_corpus(spread(table(spark, d, "orders").select("o_orderkey")))
 
 
 T = "ordinances_eda_summary_all"

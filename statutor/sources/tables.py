@@ -9,6 +9,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The frame in as many partitions as there are cores, if it has fewer.
+
+    Work that costs much for each byte is held up where a small table comes in one or two splits. A table with more splits
+    than cores is left as it is, so that at most a few splits' worth of data is ever moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def orders_corpus(orders: DataFrame) -> DataFrame:
     """A corpus of ordinances written out from order rows, whose every signal follows from the order's key in closed form.
 
