@@ -10,6 +10,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from statutor.sources.tables import spread
 
 _JOIN = re.compile("\u00ad|-[ \\t]*\\r?\\n[ \\t]*")
 _WORD = re.compile(r"[^\W_]+")
@@ -141,7 +142,7 @@ def find_leaks(df: DataFrame, key: str, text: str, items: DataFrame, item_key: s
 
         names = [key, item_key, "n_runs", "longest_run", "item_share", "start_at", "end_at"]
         items_type = _arrow(items, item_key)
-        found = df.select(key, text).mapInArrow(run, schema)
+        found = spread(df.select(key, text)).mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from statutor.llm.common import cut
+from statutor.sources.tables import spread
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of this vocabulary's rank file.
@@ -46,7 +47,7 @@ def count_tokens(df: DataFrame, key: str, text: str, keep: list[str], path: str
             counts = [len(encode(t.as_py())) if t.is_valid else 0 for t in batch.column(len(columns))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(counts, pa.int64())], [*columns, "n_tokens"])
 
-    return df.select(*columns, text).mapInArrow(run, schema)
+    return spread(df.select(*columns, text)).mapInArrow(run, schema)
 
 
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from statutor.sources.tables import spread
 
 # The words that open a section heading.
 HEADING_WORDS = ("section", "sections", "sec", "secs", "seksyon", "seksiyon", "article", "§")
@@ -170,7 +171,7 @@ def split_oversized(df: DataFrame, key: str, text: str, limit: int = 6000, overl
             yield out()
 
     names = {"piece_no": "int", "n_pieces": "int", "piece_start": "long", "start_at": "long", "end_at": "long", "begins_at": "string", "section_starts": "array<long>", "piece_text": "string"}
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{n} {names[n]}" for n, _ in fields))
+    return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{n} {names[n]}" for n, _ in fields))
 
 
 def section_audit(corpus_index: DataFrame, clean_text: DataFrame, sections: DataFrame) -> DataFrame:

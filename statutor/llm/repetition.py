@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from statutor.llm.common import batches_of_chars
+from statutor.sources.tables import spread
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -77,4 +78,4 @@ def measure_repetition(df: DataFrame, key: str, text: str, n: int = 6) -> DataFr
             total, again = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (words, repeated))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), pa.array(again), pa.array(again / np.maximum(total, 1))], [key, "n_words", "n_repeated", "share_repeated"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_words long, n_repeated long, share_repeated double")
+    return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {kind}, n_words long, n_repeated long, share_repeated double")
