@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statutor.llm.common import join_term_stats
+from statutor.llm.common import cut, join_term_stats
 from statutor.llm.survivor import real_title
 
 
@@ -27,7 +27,7 @@ def distinctive_terms(df: DataFrame, key: str, texts: list[Column], prior: float
     # rows are numbered before they are taken apart, so that a term's count is that of one row
     rows = df.filter(F.col(key).isNotNull()).select(F.col(key), F.concat(*(terms(t) for t in texts)).alias("_terms"), F.monotonically_increasing_id().alias("_row"))
     rows = rows.select(key, "_row", F.explode("_terms").alias("term"))
-    each = rows.groupBy(key, "_row", "term").agg(F.count("*").alias("c")).groupBy(key, "term").agg(F.max("c").alias("n_in_record"))
+    each = cut(rows.groupBy(key, "_row", "term").agg(F.count("*").alias("c")).groupBy(key, "term").agg(F.max("c").alias("n_in_record")))
     sizes = each.groupBy(key).agg(F.sum("n_in_record").alias("_size"))
     stats = each.groupBy("term").agg(F.count("*").alias("n_records"), F.sum("n_in_record").alias("_all"))
     n_rows, total = stats.agg(F.coalesce(F.sum("n_records"), F.lit(0)), F.coalesce(F.sum("_all"), F.lit(0))).first()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from statutor.llm.common import table
 from statutor.llm.distinctive import index_terms
 from statutor.llm.leakage import find_leaks
-from statutor.llm.mixture import mix
+from statutor.llm.mixture import mix, mix_texts
 from statutor.llm.neardup import NearDuplicates
 from statutor.llm.ocr import RepairedPages
 from statutor.llm.pieces import section_audit, split_oversized
@@ -92,6 +92,11 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[0]
 
 
+def p7_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mix_texts(mix(docs, table(spark, sf_dir, "source_targets"))[0], docs)
+
+
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[1]
 
@@ -105,7 +110,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p1_section_audit, p2_found, p2_paragraphs, p3_found, p3_terms, p4_found, p4_groups, p4_survivors, p5_found, p5_groups, p6_found, p6_leaks, p7_mix, p7_shares, p8_found, p8_repetition)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_section_audit, p2_found, p2_paragraphs, p3_found, p3_terms, p4_found, p4_groups, p4_survivors, p5_found, p5_groups, p6_found, p6_leaks, p7_mix, p7_shares, p7_texts, p8_found, p8_repetition)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statutor.llm.common import fold_width, is_blank
+from statutor.llm.common import cut, fold_width, is_blank
 from statutor.llm.components import components
 
 # Stand-ins for "no title", after everything but letters is removed.
@@ -48,7 +48,7 @@ def group_records(df: DataFrame, seq: str, keys: Mapping[str, Column]) -> DataFr
     for i, r in enumerate(reps):
         least = ids.filter(F.col(f"_k{i}").isNotNull()).groupBy(f"_k{i}").agg(F.min("_seq").alias(r))
         ids = ids.join(least, f"_k{i}", "left").drop(f"_k{i}")
-    ids = ids.withColumn("_any", F.coalesce(*reps, F.col("_seq")))
+    ids = cut(ids.withColumn("_any", F.coalesce(*reps, F.col("_seq"))))
     edges = None
     for r in reps:
         pairs = ids.filter(F.col(r).isNotNull()).select(F.col("_any").alias("u"), F.col(r).alias("v")).distinct()
