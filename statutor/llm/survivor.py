@@ -40,9 +40,9 @@ def group_records(df: DataFrame, seq: str, keys: Mapping[str, Column]) -> DataFr
     Two records are tied if any of ``keys`` is equal; a null key ties nothing. Keys are replaced by the smallest
     ``seq`` that has them (an aggregation with partial minima), so what the component search sees is one edge for each
     distinct pair of keys, however many records a key holds. A record without any key is its own group; rows with a
-    null ``seq`` are left out, since nothing can name them.
+    null ``seq`` are left out, since nothing can name them. A ``group_seq`` that is there already is replaced.
     """
-    d = df.filter(F.col(seq).isNotNull())
+    d = df.drop("group_seq").filter(F.col(seq).isNotNull())
     ids = d.select(F.col(seq).alias("_seq"), *(k.alias(f"_k{i}") for i, k in enumerate(keys.values())))
     reps = [f"_r{i}" for i in range(len(keys))]
     for i, r in enumerate(reps):

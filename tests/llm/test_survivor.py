@@ -60,8 +60,10 @@ def test_ties_and_clashing_columns(spark):
     d = spark.createDataFrame([(1, 3, 5), (1, 2, 5), (1, 4, None), (None, 9, 1)], "g long, seq long, low int")
     r = survivors(d, "g", [F.col("low")], "seq", {"low": (F.col("low").isNotNull(), F.col("low"))}).collect()
     assert [(x["g"], x["n_records"], x["best_seq"], x["low"], x["low_seq"]) for x in r] == [(1, 3, 2, 5, 2)]
-    extra = d.withColumn("n_records", F.lit("x")).withColumn("_order", F.lit(1))
-    assert group_records(extra.withColumnRenamed("g", "key"), "seq", {"k": F.col("key")}).count() == 4
+    extra = d.withColumns({"n_records": F.lit("x"), "_order": F.lit(1), "group_seq": F.lit("y")})
+    got = group_records(extra.withColumnRenamed("g", "key"), "seq", {"k": F.col("key")})
+    assert {r["seq"]: r["group_seq"] for r in got.collect()} == {2: 2, 3: 2, 4: 2, 9: 9}
+    assert got.columns.count("group_seq") == 1
 
 
 def test_distinctive_terms_by_hand(spark):
