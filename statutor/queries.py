@@ -18,8 +18,9 @@ from statutor.operators import curate, duplicates, report, vault
 from statutor.operators.audit import apply_overrides, audit, debug_headers, override_template
 from statutor.plans.views import live
 from statutor.sources import overrides as O
-from statutor.sources.documents import documents_from_pages, page_counts
-from statutor.sources.tables import orders_corpus, spread, table
+from statutor.sources.documents import choose_page_text, documents_from_pages, method, page_counts
+from statutor.sources.tables import orders_corpus, shared_folder, spread, table
+from statutor.streaming.intake import audit_stream, stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -150,9 +151,13 @@ def filename_number(spark: SparkSession, d: str) -> DataFrame:
     return summary(spark, d).select("scan_seq", "filename", number.alias("number"), year.alias("year"))
 
 
-@query(f"SELECT k AS doc_id, number, y AS year, 0 AS rejected FROM {LEGAL}")
+@query(f"SELECT k AS doc_id, number, y AS year, (CASE WHEN k % 4 = 1 THEN 1 WHEN k % 4 = 2 THEN 2 ELSE 0 END)::INT AS rejected FROM {LEGAL}")
 def header_number_rejected(spark: SparkSession, d: str) -> DataFrame:
-    return legal(spark, d).select("doc_id", S.header_number(F.col("text")).alias("h")).select("doc_id", "h.number", "h.year", "h.rejected")
+    """Own numbers behind none, one or two numbers that are cited."""
+    k = F.col("doc_id")
+    cited = F.when(k % 4 == 1, "Amending Ordinance No. 0100-05\n\n").when(k % 4 == 2, "Pursuant to Ordinance No. 0100-05\nRepealing Ordinance No. 0200-06;\n").otherwise("Under these terms:\n")
+    t = legal(spark, d).select("doc_id", F.concat(cited, "text").alias("text"))
+    return t.select("doc_id", S.header_number(F.col("text")).alias("h")).select("doc_id", "h.number", "h.year", "h.rejected")
 
 
 @query(f"SELECT k AS doc_id, series AS series_year FROM {LEGAL}")
@@ -261,6 +266,18 @@ def audit_records(spark: SparkSession, d: str) -> DataFrame:
     return audit(documents_from_pages(table(spark, d, "pages_in")))
 
 
+@query()
+def stream_intake(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as they come in, read as a stream and audited one by one into a table of the shared folder."""
+    pages = table(spark, d, "pages_in")
+    name = F.coalesce("filename", F.lit(""))
+    arriving = choose_page_text(stream(spark, f"{d}/pages_in.parquet*", pages.schema))
+    docs = arriving.select("folder_year", name.alias("filename"), F.concat_ws("#", "file_path", F.col("page_id").cast("string")).alias("file_path"), F.col("page_text").alias("text"), method(F.col("by_ocr").cast("int"), F.lit(1)).alias("extraction_method"), F.lit(1).alias("page_count"), F.col("by_ocr").cast("int").alias("ocr_page_count"), F.sha2("page_text", 256).alias("file_hash"))
+    out = shared_folder(spark, "intake")
+    audit_stream(docs, f"{out}/records", f"{out}/progress").awaitTermination()
+    return spark.read.parquet(f"{out}/records")
+
+
 @query()
 def header_sample(spark: SparkSession, d: str) -> DataFrame:
     return debug_headers(documents_from_pages(table(spark, d, "pages_in"))).select("filename", "head", "around_anchor", "signals.*")
