@@ -79,7 +79,13 @@ def extraction_method(spark: SparkSession, d: str) -> DataFrame:
     return page_counts(table(spark, d, "pages_in"))
 
 
-@query()
+_PAGE_TEXT = r"""(SELECT *, CASE WHEN length(trim(d, E' \n\t\r')) < 100 AND length(trim(o, E' \n\t\r')) > length(trim(d, E' \n\t\r')) THEN o ELSE d END page_text, (length(trim(d, E' \n\t\r')) < 100 AND length(trim(o, E' \n\t\r')) > length(trim(d, E' \n\t\r')))::INT by_ocr
+ FROM (SELECT *, coalesce(digital_text, '') d, coalesce(ocr_text, '') o FROM pages_in))"""
+
+
+@query(f"""WITH p AS (SELECT file_path, page_index, min(page_text) page_text, min(by_ocr) by_ocr, min(folder_year) folder_year, min(filename) filename FROM {_PAGE_TEXT} GROUP BY file_path, page_index),
+ f AS (SELECT file_path, min(folder_year) folder_year, min(filename) filename, string_agg(page_text, chr(10) ORDER BY page_index) "text", count(*)::INT page_count, sum(by_ocr)::INT ocr_page_count FROM p GROUP BY file_path)
+SELECT folder_year, filename, file_path, "text", CASE WHEN ocr_page_count = 0 THEN 'Digital' WHEN ocr_page_count = page_count THEN 'OCR' ELSE 'Hybrid' END AS extraction_method, page_count, ocr_page_count, sha256("text") AS file_hash FROM f""")
 def documents(spark: SparkSession, d: str) -> DataFrame:
     return documents_from_pages(table(spark, d, "pages_in"))
 
