@@ -20,8 +20,9 @@ def cut(df: DataFrame) -> DataFrame:
     (tests, a laptop) a folder of our own is set.
     """
     sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="statutor-checkpoint-"))
+    if sc.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="statutor-checkpoint-"))
     return df.checkpoint()
 
 

@@ -74,3 +74,18 @@ def test_empty(spark, what):
     docs, targets = documents(spark, [("a", 2, 2)]), spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
     m, report = mix(docs.filter("false") if what == "documents" else docs, targets.filter("false") if what == "targets" else targets)
     assert m.count() == 0 and report.count() == 1
+
+
+def test_a_source_of_most_rows_is_packed_in_buckets(spark):
+    from pyspark.sql import functions as F
+
+    from statutor.llm.mixture import count_tokens, pack
+
+    docs = documents(spark, [("big", 400, 10), ("small", 20, 10)])
+    counts = count_tokens(docs, "doc_id", "text", ["source"])
+    blocks, totals = pack(counts, 64, 1, bucket_tokens=500)
+    rows = sorted((r["source"], r["block"], r["n_tokens"]) for r in blocks.collect())
+    assert {s: sum(n for x, _, n in rows if x == s) for s in totals} == totals
+    assert all(n == 64 for (s, b, n), (t, _, _) in zip(rows, rows[1:], strict=False) if s == t)
+    again = blocks.select(F.explode("segments").alias("s")).groupBy("s.doc_id").agg(F.sum(F.col("s.to_token") - F.col("s.from_token")).alias("n"))
+    assert {r["doc_id"]: r["n"] for r in again.collect()} == {r["doc_id"]: r["n_tokens"] for r in counts.collect()}

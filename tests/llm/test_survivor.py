@@ -87,3 +87,10 @@ def test_hot_terms_and_empty_tables(spark):
     assert index_terms(d.filter("false")).count() == 0
     stand_ins = spark.createDataFrame([(1, "UNTITLED", None), (2, "(no title)", "n/a")], "scan_seq long, title string, subject_keywords string")
     assert index_terms(stand_ins).count() == 0
+
+
+def test_a_key_on_a_third_of_all_rows(spark):
+    rows = [(k, 1, "7-16" if k % 3 == 0 else f"{k}-17", "AA" if k % 3 == 1 else None, 9, 0.5, k, None, None) for k in range(1, 3001)]
+    got = {r["group_seq"]: r for r in ordinance_survivors(summary(spark, rows)).collect()}
+    assert (got[3]["n_records"], got[3]["best_seq"]) == (1000, 3000) and (got[1]["n_records"], got[1]["best_seq"]) == (1000, 2998)
+    assert len(got) == 1002
