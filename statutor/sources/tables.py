@@ -14,7 +14,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for a table that all executors can read: in the one that ``spark.checkpoint.dir`` names, else a local one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="statutor-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="statutor-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
