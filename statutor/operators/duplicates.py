@@ -54,10 +54,18 @@ def group_totals(df: DataFrame, key: str, by: list[str] | None = None) -> DataFr
     return g.groupBy(*by).agg(*out) if by else g.agg(*out)
 
 
+def listed_files(df: DataFrame, row_order: str = "scan_seq") -> DataFrame:
+    """Rows (ordinance_number, ``row_order``, filename, resolved_year, n_files): every file of each number on more than one row.
+
+    The whole listing, one row per file and so of any size; within a number ``row_order`` gives the files' order.
+    """
+    return df.join(groups(df, "ordinance_number"), "ordinance_number").select("ordinance_number", row_order, "filename", "resolved_year", F.col("n").alias("n_files"))
+
+
 def listing(df: DataFrame, row_order: str = "scan_seq", shown: int = 50) -> DataFrame:
     """Per ordinance number on more than one row: how many, the first ``shown`` file names in row order, resolved years.
 
-    A cell of a table holds what can be read; ``n_files`` counts all.
+    A cell of a table holds what can be read; ``n_files`` counts all, and ``listed_files`` has them all.
     """
     g = df.filter("ordinance_number IS NOT NULL").select("ordinance_number", "filename", "resolved_year", row_order)
     names = F.transform(F.array_sort(F.collect_list(F.when(F.col("_low") <= shown, F.struct(row_order, "filename")))), lambda x: x["filename"])

@@ -369,6 +369,11 @@ def dup_listing(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.listing(summary(spark, d))
 
 
+@query(f"SELECT * FROM (SELECT ordinance_number, scan_seq, filename, resolved_year, count(*) OVER (PARTITION BY ordinance_number) AS n_files FROM {T} WHERE ordinance_number IS NOT NULL) WHERE n_files > 1")
+def dup_files(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.listed_files(summary(spark, d))
+
+
 @query(f"SELECT scan_seq, loses_hash, loses_number, loses_hash OR loses_number AS is_loser FROM {LOSERS}")
 def dup_losers(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.duplicate_losers(summary(spark, d)).select("scan_seq", "loses_hash", "loses_number", "is_loser")

@@ -29,6 +29,13 @@ def test_duplicate_losers_are_independent_by_hash_and_number(spark):
     assert got == {1: (False, True), 2: (True, False), 3: (False, True), 4: (False, False), 5: (False, False), 6: (False, False), 7: (False, True)}
 
 
+def test_every_file_of_a_repeated_number_is_listed(spark):
+    rows = [(i, f"f{i}", f"p{i}", "H", 2016, 2016, "N/A", 1.0, 9, "valid", False, False) for i in range(120)]
+    rows += [(500, "x", "p", "H", 2016, None, "1-16", 1.0, 9, "valid", False, False), (501, "y", "p", "H", 2016, 2017, None, 1.0, 9, "valid", False, False), (502, "y", "p", "H", 2016, 2017, None, 1.0, 9, "valid", False, False)]
+    got = duplicates.listed_files(recs(spark, rows)).orderBy("scan_seq").collect()
+    assert [tuple(r) for r in got] == [("N/A", i, f"f{i}", 2016, 120) for i in range(120)]
+
+
 def test_removal_and_index(spark):
     rows = [
         (1, "a", "p", "A", 2016, 2016, "1", 1.0, 9, "valid", False, False),
