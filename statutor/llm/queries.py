@@ -11,7 +11,7 @@ from statutor.llm.common import table
 from statutor.llm.distinctive import index_terms
 from statutor.llm.leakage import find_leaks
 from statutor.llm.mixture import mix, mix_texts
-from statutor.llm.neardup import NearDuplicates
+from statutor.llm.neardup import NearDuplicates, all_groups
 from statutor.llm.ocr import RepairedPages
 from statutor.llm.pieces import section_audit, split_oversized
 from statutor.llm.repetition import measure_repetition
@@ -77,7 +77,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark, sf_dir).groups()
+    return all_groups(table(spark, sf_dir, "clean_text"), "text_id", "clean_text", words=3, threshold=0.7)
 
 
 def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
