@@ -67,18 +67,14 @@ def listing(df: DataFrame, row_order: str = "scan_seq", shown: int = 50) -> Data
 
     A cell of a table holds what can be read; ``n_files`` counts all, and ``listed_files`` has them all.
     """
-    g = df.filter("ordinance_number IS NOT NULL").select("ordinance_number", "filename", "resolved_year", row_order)
-    names = F.transform(F.array_sort(F.collect_list(F.when(F.col("_low") <= shown, F.struct(row_order, "filename")))), lambda x: x["filename"])
-    many = groups(df, "ordinance_number")
-    ranked = g.join(many, "ordinance_number")
-    # the place of a row among its number's rows, from counts by chunks of the row order, so that no group is sorted whole
-    chunk = (F.col(row_order) / F.lit(4096)).cast("long")
-    chunks = ranked.groupBy("ordinance_number", chunk.alias("_chunk")).agg(F.count("*").alias("_n"))
     from pyspark.sql.window import Window
 
-    heads = chunks.withColumn("_before", F.sum("_n").over(Window.partitionBy("ordinance_number").orderBy("_chunk")) - F.col("_n"))
-    inside = Window.partitionBy("ordinance_number", "_chunk").orderBy(row_order)
-    ranked = ranked.withColumn("_chunk", chunk).withColumn("_in", F.row_number().over(inside)).join(heads, ["ordinance_number", "_chunk"])
-    ranked = ranked.withColumn("_low", F.col("_before") + F.col("_in"))
+    g = listed_files(df, row_order)
+    # first within slices of a number, then among those of all its slices, so that no group is sorted whole and any order will do
+    slices = g.withColumn("_slice", F.pmod(F.xxhash64(row_order, "filename"), F.lit(64)))
+    inside, over = Window.partitionBy("ordinance_number", "_slice").orderBy(row_order), Window.partitionBy("ordinance_number").orderBy(row_order)
+    heads = slices.withColumn("_in", F.row_number().over(inside)).filter(F.col("_in") <= shown).withColumn("_low", F.row_number().over(over)).filter(F.col("_low") <= shown)
+    names = heads.groupBy("ordinance_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_low", "filename"))), lambda x: x["filename"]), ", ").alias("files"))
     years = F.array_join(F.array_sort(F.collect_set(F.col("resolved_year").cast("string"))), ", ")
-    return ranked.groupBy("ordinance_number").agg(F.first("n").alias("n_files"), F.array_join(names, ", ").alias("files"), F.when(years == "", "n/a").otherwise(years).alias("resolved_years"))
+    whole = g.groupBy("ordinance_number").agg(F.first("n_files").alias("n_files"), F.when(years == "", "n/a").otherwise(years).alias("resolved_years"))
+    return whole.join(names, "ordinance_number").select("ordinance_number", "n_files", "files", "resolved_years")

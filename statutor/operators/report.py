@@ -147,8 +147,7 @@ def render_year(df: DataFrame, year: int, window: tuple[int, int] = X.STUDY_WIND
     out += [f"Pages read by OCR: {i['ocr_pages']}. Mean confidence {mean}, median {median}; {i['single_signal']} resolved on a single signal.", "", "## Duplicates", ""]
     out += [f"- equal files: {dup['hash']['groups']} group(s), {dup['hash']['files']} file(s)", f"- equal numbers: {dup['number']['groups']} group(s), {dup['number']['files']} file(s)", f"- without a number: {i['unnumbered']}", ""]
     order = "scan_seq" if "scan_seq" in d.columns else "file_path"
-    if order == "scan_seq":
-        out += _shown(["Ordinance No.", "Files", "Resolved years"], listing(d).select("ordinance_number", "files", "resolved_years").orderBy("ordinance_number"), listed)
+    out += _shown(["Ordinance No.", "Count", "Files (the first 50)", "Resolved years"], listing(d, order).select("ordinance_number", "n_files", "files", "resolved_years").orderBy("ordinance_number"), listed)
     out += ["## Signals", "", *_table(["Signal", "Extracted", "Coverage"], [[r["signal"], f"{r['extracted']} / {r['documents']}", f"{r['coverage']:.1f}%"] for r in cover])]
     out += [f"Numbers by file name {i['numbered_by_filename']}, agreeing with the header {i['numbers_agree']}; {i['citations_rejected']} citation(s) rejected.", ""]
     if cover[0]["coverage"] < 50:

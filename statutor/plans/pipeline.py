@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from statutor.functions import fixed as X
 from statutor.operators.audit import SUMMARY, apply_overrides, audit, override_template
 from statutor.operators.curate import INDEX, corpus_index, corpus_only, flag_removals, relocation_plan, removal_plan
+from statutor.operators.duplicates import listed_files
 from statutor.operators.report import crosstab, render_corpus, render_year
 from statutor.operators.vault import corpus_map, notes, year_indices
 
@@ -71,6 +72,7 @@ def write(documents: DataFrame, out: str, run: Run | None = None, overrides: Dat
         text = render_year(flat, year, run.window)
         Path(out).mkdir(parents=True, exist_ok=True)
         (Path(out) / f"report_{year}.md").write_text(text, encoding="utf-8")
+        listed_files(flat.filter(F.col("folder_year") == year), "file_path").write.mode("overwrite").parquet(f"{out}/report_{year}_duplicates")
     if run.reports:
         (Path(out) / "report_corpus.md").write_text(render_corpus(flat), encoding="utf-8")
     return places

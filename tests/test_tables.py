@@ -160,6 +160,18 @@ def test_run_writes_everything(spark, tmp_path):
     assert back.count() == plan.select("quarantine_path").distinct().count() > 0
 
 
+def test_report_of_a_run_lists_repeated_numbers(spark, tmp_path):
+    out = str(tmp_path / "out")
+    places = write(frame(spark), out, Run(reports=[2016]))
+    d = spark.read.parquet(places["records"]).filter("folder_year = 2016")
+    want = duplicates.listed_files(d, "file_path").collect()
+    text = (tmp_path / "out" / "report_2016.md").read_text(encoding="utf-8")
+    number = want[0]["ordinance_number"]
+    row = next(x for x in text.split("\n") if x.startswith(f"| {number} | {want[0]['n_files']} | "))
+    assert all(r["filename"] in row for r in want if r["ordinance_number"] == number)
+    assert sorted(map(repr, spark.read.parquet(f"{out}/report_2016_duplicates").collect())) == sorted(map(repr, want))
+
+
 def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     d = frame(spark)
     d.repartition(3).write.parquet(str(tmp_path / "in"))
