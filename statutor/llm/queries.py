@@ -15,6 +15,7 @@ from statutor.llm.neardup import NearDuplicates, all_groups
 from statutor.llm.ocr import RepairedPages
 from statutor.llm.pieces import section_audit, split_oversized
 from statutor.llm.repetition import measure_repetition
+from statutor.llm.repetitive import score_repetition
 from statutor.llm.survivor import NO_TITLE, ordinance_groups, ordinance_survivors
 
 LIMIT, OVERLAP = 6000, 200
@@ -105,12 +106,17 @@ def p8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure_repetition(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_repetition(table(spark, sf_dir, "documents"), "doc_id", "text", share=0.4)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p8_repetition(spark, sf_dir).filter("n_words >= 12 AND share_repeated >= 0.4").select("doc_id")
+    """The documents that the classifier holds possible or likely, where their exact share confirms it."""
+    return p8_scores(spark, sf_dir).filter("verdict != 'clean' AND n_words >= 12 AND share_repeated >= 0.4").select("doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p1_section_audit, p2_found, p2_paragraphs, p3_found, p3_terms, p4_found, p4_groups, p4_survivors, p5_found, p5_groups, p6_found, p6_leaks, p7_mix, p7_shares, p7_texts, p8_found, p8_repetition)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p1_section_audit, p2_found, p2_paragraphs, p3_found, p3_terms, p4_found, p4_groups, p4_survivors, p5_found, p5_groups, p6_found, p6_leaks, p7_mix, p7_shares, p7_texts, p8_found, p8_repetition, p8_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
