@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, each made once; emptied when it has grown large."""
+
+    def __missing__(self, word: str) -> int:
+        out = self[word] = xxhash.xxh3_64_intdigest(word)
+        return out
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self) > 2_000_000:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
 def is_blank(c: Column) -> Column:
     """Null, empty or white space only."""
     return c.isNull() | ~c.rlike(r"(?U)\S")

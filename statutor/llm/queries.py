@@ -53,7 +53,8 @@ def p3_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index_terms(table(spark, sf_dir, "corpus_index")).filter("n_records BETWEEN 2 AND 5").select("scan_seq", "term")
+    """The terms whose z-score is that of a term which few records share, where counting confirms it."""
+    return index_terms(table(spark, sf_dir, "corpus_index"), most_records=5).filter("n_records BETWEEN 2 AND 5").select("scan_seq", "term")
 
 
 def p4_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:

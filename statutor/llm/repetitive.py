@@ -10,14 +10,14 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statutor.llm.common import batches_of_chars
+from statutor.llm.common import WordHashes, batches_of_chars
 from statutor.llm.repetition import _MIX, _WORD, repeated_words
 from statutor.sources.tables import spread
 
@@ -89,17 +89,13 @@ def repeats(units: np.ndarray, counts: np.ndarray, chars: bool) -> Iterator[Repe
         yield Repeats(who, slot + ((key >> np.uint64(7)) % np.uint64(BUCKETS)).astype(np.int64), slot + BUCKETS + np.minimum(count, COUNTS) - 1, count, np.maximum(1, counts - n + 1)[who])
 
 
-def hashed_words(texts: list[str], cache: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(texts: list[str], cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """The words of all texts as 64-bit hashes, the same in every batch, and how many words each text has."""
-    counts, parts = np.zeros(len(texts), np.int64), []
-    for i, t in enumerate(texts):
-        words = _WORD.findall(t.lower())
-        counts[i] = len(words)
-        parts.extend([cache[w] if w in cache else cache.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in words])
-    return np.array(parts, np.uint64), counts
+    found = [_WORD.findall(t.lower()) for t in texts]
+    return cache.of(list(chain.from_iterable(found))), np.array([len(w) for w in found], np.int64)
 
 
-def units_of(texts: list[str], cache: dict[str, int]) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+def units_of(texts: list[str], cache: WordHashes) -> list[tuple[np.ndarray, np.ndarray, bool]]:
     words, counts = hashed_words(texts, cache)
     chars = np.frombuffer("".join(texts).lower().encode("utf-32-le", "replace"), np.uint32)
     sizes = np.array([len(t) for t in texts], np.int64)
@@ -206,7 +202,7 @@ def fit_repetition_model(df: DataFrame, key: str, text: str, share: float = 0.4,
                 seeds = [sum(map(ord, t[:200])) * 31 + len(t) for t in texts]
                 again = [(s, spliced(t, s)) for s, t in zip(seeds, texts, strict=True)]
                 texts, seeds = texts + [t for _, t in again if t], seeds + [s for s, t in again if t]
-                units = units_of(texts, {})
+                units = units_of(texts, WordHashes())
                 words, counts = units[0][:2]
                 repeated = repeated_words(words, counts, n)
                 x = features(units)
@@ -232,13 +228,11 @@ def score_repetition(df: DataFrame, key: str, text: str, model: RepetitionModel
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, ids = shared.value, {}
+        own, cache = shared.value, WordHashes()
         for batch in batches:
             out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)]]
             for part in batches_of_chars((i, t.as_py() or "") for i, t in enumerate(batch.column(1))):
-                if len(ids) > 2_000_000:
-                    ids.clear()
-                units = units_of([t for _, t in part], ids)
+                units = units_of([t for _, t in part], cache)
                 words, counts = units[0][:2]
                 p = np.where(counts > 0, own.probabilities(units), 0.0)
                 asked = p >= POSSIBLE
