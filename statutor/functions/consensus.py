@@ -73,10 +73,10 @@ def _judged(signals: Column, resolved: Column, weighed: Column, folder_year: Col
     e, n, s, a = (years[k] for k in ("enactment", "number", "series", "approval"))
     notes = F.concat_ws(
         "; ",
-        F.when(e != a, F.format_string("enacted %d vs approved %d", e, a)),
-        F.when(s != n, F.format_string("series %d vs ord-no %d", s, n)),
-        F.when(signals["ordinance_number_source"] == "header", F.lit("number read from header, filename unparsed")),
-        F.when(~has_text, F.lit("no extractable text; filename-only inference")),
+        F.when(e != a, F.format_string(X.NOTE_ENACTED_APPROVED, e, a)),
+        F.when(s != n, F.format_string(X.NOTE_SERIES_NUMBER, s, n)),
+        F.when(signals["ordinance_number_source"] == "header", F.lit(X.NOTE_HEADER_NUMBER)),
+        F.when(~has_text, F.lit(X.NOTE_NO_TEXT)),
     )
     return let(status, lambda status: F.struct(
         resolved.alias("resolved_year"), hundredths(raw).alias("confidence_score"), weighed["agree"].alias("agreeing_signals"), weighed["given"].alias("available_signals"),

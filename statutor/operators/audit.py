@@ -56,7 +56,7 @@ def apply_overrides(records: DataFrame, overrides: DataFrame, window: tuple[int,
     d = d.withColumn("_v", F.greatest("_all", "_own"))
     year, hit = F.col("_v.correct_year"), F.col("_v").isNotNull()
     said = lambda lead, c: F.when(strip(F.col(f"_v.{c}")) != "", F.concat(F.lit(lead), strip(F.col(f"_v.{c}"))))
-    note = F.concat(F.lit("manually verified"), F.coalesce(said(" by ", "verified_by"), F.lit("")), F.coalesce(said("; evidence: ", "evidence"), F.lit("")))
+    note = F.concat(F.lit(X.NOTE_VERIFIED), F.coalesce(said(X.NOTE_VERIFIED_BY, "verified_by"), F.lit("")), F.coalesce(said(X.NOTE_EVIDENCE, "evidence"), F.lit("")))
     outside = ~year.between(*window)
     over = {
         "resolved_year": year, "confidence_score": F.lit(1.0), "resolution_source": F.lit("manual_override"), "manually_verified": F.lit(True),

@@ -38,12 +38,17 @@ def trusted():  # noqa: ANN201
     return F.coalesce((F.col("confidence_score") >= X.MISFILE_BAR) & F.col("resolved_year").isNotNull(), F.lit(False))
 
 
-def corpus_index(df: DataFrame) -> DataFrame:
-    """The index's columns, as far as they are there, with the corpus year and whether the record is in the corpus."""
-    d = df.withColumns({
+def with_corpus_year(df: DataFrame) -> DataFrame:
+    """Adds the corpus year and whether the record is in the corpus."""
+    return df.withColumns({
         "corpus_year": F.when(trusted(), F.col("resolved_year")).otherwise(F.col("folder_year")).cast("int"),
         "included_in_corpus": (F.coalesce("removal_reason", F.lit("")) == "") & ~F.coalesce(F.col("is_sparse"), F.lit(False)),
     })
+
+
+def corpus_index(df: DataFrame) -> DataFrame:
+    """The index's columns, as far as they are there, with the corpus year and whether the record is in the corpus."""
+    d = with_corpus_year(df)
     return d.select(*(c for c in INDEX if c in d.columns))
 
 
@@ -52,10 +57,22 @@ def corpus_only(df: DataFrame) -> DataFrame:
 
 
 def removal_plan(df: DataFrame, quarantine: str = "data/quarantine") -> DataFrame:
-    """Where each flagged file goes: ``quarantine/<reason>/<folder year>/``."""
+    """Where each flagged file goes: ``quarantine/<reason>/<folder year>/``; by reason and file name."""
     d = df.filter(F.coalesce("removal_reason", F.lit("")) != "")
     to = F.concat_ws("/", F.lit(quarantine), "removal_reason", F.col("folder_year").cast("string"), "filename")
-    return d.select("filename", F.col("file_path").alias("original_path"), to.alias("quarantine_path"), F.lit("quarantine").alias("action"), "removal_reason", "folder_year", "resolved_year", "confidence_score", "ordinance_number")
+    return d.select("filename", F.col("file_path").alias("original_path"), to.alias("quarantine_path"), F.lit("quarantine").alias("action"), "removal_reason", "folder_year", "resolved_year", "confidence_score", "ordinance_number").orderBy("removal_reason", "filename")
+
+
+def purge_plan(df: DataFrame) -> DataFrame:
+    """The flagged files as a plan to delete them, for people to carry out: nothing here deletes, and no plan can bring them back."""
+    plan = removal_plan(df)
+    return plan.select("filename", "original_path", F.lit("").alias("quarantine_path"), F.lit("purge").alias("action"), *plan.columns[4:])
+
+
+def after_removal(df: DataFrame, quarantine: str = "data/quarantine") -> DataFrame:
+    """Records with the path that each flagged file has once the removal plan is carried out."""
+    to = F.concat_ws("/", F.lit(quarantine), "removal_reason", F.col("folder_year").cast("string"), "filename")
+    return df.withColumn("file_path", F.when(F.coalesce("removal_reason", F.lit("")) != "", to).otherwise(F.col("file_path")))
 
 
 def restore_plan(manifest: DataFrame) -> DataFrame:

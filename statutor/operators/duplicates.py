@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from statutor.sources.tables import ranked
+
 
 def losers(df: DataFrame, key: str, order: Column, name: str) -> DataFrame:
     """Adds boolean ``name``: whether the row isn't its key's first by ``order`` (a struct that ends in something unique).
@@ -62,19 +64,15 @@ def listed_files(df: DataFrame, row_order: str = "scan_seq") -> DataFrame:
     return df.join(groups(df, "ordinance_number"), "ordinance_number").select("ordinance_number", row_order, "filename", "resolved_year", F.col("n").alias("n_files"))
 
 
-def listing(df: DataFrame, row_order: str = "scan_seq", shown: int = 50) -> DataFrame:
-    """Per ordinance number on more than one row: how many, the first ``shown`` file names in row order, resolved years.
+def listing(df: DataFrame, row_order: str = "scan_seq", size: int = 50) -> DataFrame:
+    """Rows (ordinance_number, part, n_files, files, resolved_years) of each number on more than one row.
 
-    A cell of a table holds what can be read; ``n_files`` counts all, and ``listed_files`` has them all.
+    All its file names are there in row order, in numbered parts of ``size`` names, so that a cell holds what can be read
+    and a number on any share of all rows is listed whole. ``resolved_years`` are those of all its rows.
     """
-    from pyspark.sql.window import Window
-
     g = listed_files(df, row_order)
-    # first within slices of a number, then among those of all its slices, so that no group is sorted whole and any order will do
-    slices = g.withColumn("_slice", F.pmod(F.xxhash64(row_order, "filename"), F.lit(64)))
-    inside, over = Window.partitionBy("ordinance_number", "_slice").orderBy(row_order), Window.partitionBy("ordinance_number").orderBy(row_order)
-    heads = slices.withColumn("_in", F.row_number().over(inside)).filter(F.col("_in") <= shown).withColumn("_low", F.row_number().over(over)).filter(F.col("_low") <= shown)
-    names = heads.groupBy("ordinance_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_low", "filename"))), lambda x: x["filename"]), ", ").alias("files"))
+    parts = ranked(g, ["ordinance_number"], [row_order, "filename"]).withColumn("part", F.expr(f"place div {size}").cast("int"))
+    names = parts.groupBy("ordinance_number", "part").agg(F.first("n_files").alias("n_files"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "filename"))), lambda x: x["filename"]), ", ").alias("files"))
     years = F.array_join(F.array_sort(F.collect_set(F.col("resolved_year").cast("string"))), ", ")
-    whole = g.groupBy("ordinance_number").agg(F.first("n_files").alias("n_files"), F.when(years == "", "n/a").otherwise(years).alias("resolved_years"))
-    return whole.join(names, "ordinance_number").select("ordinance_number", "n_files", "files", "resolved_years")
+    whole = g.groupBy("ordinance_number").agg(F.when(years == "", "n/a").otherwise(years).alias("resolved_years"))
+    return names.join(whole, "ordinance_number").select("ordinance_number", "part", "n_files", "files", "resolved_years")

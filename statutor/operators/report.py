@@ -109,7 +109,7 @@ def kept_and_redated(index: DataFrame) -> DataFrame:
 
 def discrepancies(df: DataFrame) -> DataFrame:
     """Records filed wrongly or out of scope, with where they should be."""
-    path = F.when(F.col("resolved_year").isNotNull(), F.concat(F.lit("data/raw/"), F.col("resolved_year"), F.lit("/"))).otherwise("Manual review")
+    path = F.when(F.col("resolved_year").isNotNull(), F.concat(F.lit("data/raw/"), F.col("resolved_year"), F.lit("/"))).otherwise(X.NO_YEAR_PATH)
     years = {f"{s}_shown": year_or_dash(F.col(c)) for s, c in zip(("enacted", "number", "series", "approved"), SIGNALS.values(), strict=True)}
     d = df.filter(F.col("temporal_status").isin("misfiled", "out_of_scope"))
     return d.select("filename", F.coalesce(F.nullif("ordinance_number", F.lit("")), F.lit("n/a")).alias("number"), "temporal_status", "folder_year", "resolved_year", "confidence_score", F.concat_ws("/", F.col("agreeing_signals").cast("string"), F.col("available_signals").cast("string")).alias("agree"), *(c.alias(k) for k, c in years.items()), path.alias("suggested_path"))
@@ -118,7 +118,7 @@ def discrepancies(df: DataFrame) -> DataFrame:
 def for_review(df: DataFrame) -> DataFrame:
     """Records that people must look at, with the reason."""
     notes = F.when(F.coalesce("conflict_notes", F.lit("")) != "", F.col("conflict_notes"))
-    reason = F.coalesce(notes, F.when(F.col("resolved_year").isNull(), F.lit("no year signal recovered")).otherwise("mismatch below confidence bar"))
+    reason = F.coalesce(notes, F.when(F.col("resolved_year").isNull(), F.lit(X.REASON_NO_YEAR)).otherwise(X.REASON_BELOW_BAR))
     return df.filter(F.col("temporal_status").isin("review", "unresolved")).select("filename", year_or_dash(F.col("resolved_year")).alias("resolved"), "confidence_score", "agreeing_signals", "available_signals", reason.alias("reason"))
 
 
@@ -131,8 +131,24 @@ def _table(head: list[str], rows: list[list[object]]) -> list[str]:
     return ["| " + " | ".join(head) + " |", "|" + "---|" * len(head), *("| " + " | ".join(map(str, r)) + " |" for r in rows), ""]
 
 
+def repeated_numbers(df: DataFrame, order: str = "scan_seq") -> DataFrame:
+    """The report's table of repeated numbers: (ordinance_number, n_files, files, resolved_years), further names in further rows."""
+    return listing(df, order).orderBy("ordinance_number", "part").select("ordinance_number", "n_files", "files", "resolved_years")
+
+
+def year_tables(df: DataFrame, year: int) -> dict[str, DataFrame]:
+    """The tables of single records in a year's report, whole and in its order."""
+    d = df.filter(F.col("folder_year") == year)
+    order = "scan_seq" if "scan_seq" in d.columns else "file_path"
+    return {"duplicates": repeated_numbers(d, order), "discrepancies": discrepancies(d).orderBy("resolved_year", "filename"), "review": for_review(d).orderBy("filename")}
+
+
 def render_year(df: DataFrame, year: int, window: tuple[int, int] = X.STUDY_WINDOW, listed: int = 1000) -> str:
-    """The Markdown report on one folder year. Tables of single records show at most ``listed`` of them and say so."""
+    """The Markdown report on one folder year: inventory, duplicates, signals, text, discrepancies and what is left for review.
+
+    A page is for reading: of each of ``year_tables`` it shows the first ``listed`` rows and, where there are more, says so
+    and names the table that ``pipeline.write`` puts beside it, which has them all.
+    """
     d = df.filter(F.col("folder_year") == year)
     i = inventory(d).first()
     if not i or not i["documents"]:
@@ -140,26 +156,26 @@ def render_year(df: DataFrame, year: int, window: tuple[int, int] = X.STUDY_WIND
     t = text_statistics(d).first()
     dup = {r["kind"]: r for r in duplicate_totals(d).collect()}
     cover = signal_coverage(d).orderBy("place").collect()
-    out = [f"# Audit report: {year}", "", f"Study window {window[0]}-{window[1]}; bar for misfiling {X.MISFILE_BAR:.2f}, for relocation {X.RELOCATE_BAR:.2f}.", "", "## Inventory", ""]
+    tables = year_tables(df, year)
+    out = [f"# Audit report: {year}", "", f"Study window {window[0]}-{window[1]}; bar for misfiling {X.MISFILE_BAR:.2f}, for relocation {X.RELOCATE_BAR:.2f}.", "", "## 1. File inventory", ""]
     out += _table(["Classification", "Count", "Share"], [["all documents", i["documents"], "100.0%"], *([r["temporal_status"], r["n"], r["share"]] for r in status_counts(d).orderBy("place").collect())])
     out += _table(["Extraction", "Count", "Share"], [[r["extraction_method"], r["n"], r["share"]] for r in method_counts(d).orderBy("place").collect()])
     mean, median = (f"{i[k]:.2f}" if i[k] is not None else "-" for k in ("mean_confidence", "median_confidence"))
-    out += [f"Pages read by OCR: {i['ocr_pages']}. Mean confidence {mean}, median {median}; {i['single_signal']} resolved on a single signal.", "", "## Duplicates", ""]
+    out += [f"Pages read by OCR: {i['ocr_pages']}. Mean confidence {mean}, median {median}; {i['single_signal']} resolved on a single signal.", "", "## 2. Duplicates", ""]
     out += [f"- equal files: {dup['hash']['groups']} group(s), {dup['hash']['files']} file(s)", f"- equal numbers: {dup['number']['groups']} group(s), {dup['number']['files']} file(s)", f"- without a number: {i['unnumbered']}", ""]
-    order = "scan_seq" if "scan_seq" in d.columns else "file_path"
-    out += _shown(["Ordinance No.", "Count", "Files (the first 50)", "Resolved years"], listing(d, order).select("ordinance_number", "n_files", "files", "resolved_years").orderBy("ordinance_number"), listed)
-    out += ["## Signals", "", *_table(["Signal", "Extracted", "Coverage"], [[r["signal"], f"{r['extracted']} / {r['documents']}", f"{r['coverage']:.1f}%"] for r in cover])]
+    out += _shown(["Ordinance No.", "Count", "Files", "Resolved years"], tables["duplicates"], listed, f"report_{year}_duplicates")
+    out += ["## 3. Signals", "", *_table(["Signal", "Extracted", "Coverage"], [[r["signal"], f"{r['extracted']} / {r['documents']}", f"{r['coverage']:.1f}%"] for r in cover])]
     out += [f"Numbers by file name {i['numbered_by_filename']}, agreeing with the header {i['numbers_agree']}; {i['citations_rejected']} citation(s) rejected.", ""]
     if cover[0]["coverage"] < 50:
         out += ["> Enactment dates are covered too thinly for this year's figures to be reported.", ""]
-    out += ["## Text", "", *_table(["Measure", "Value"], [[k.replace("_", " "), f"{t[k]:,.1f}" if isinstance(t[k], float) else f"{t[k]:,}" if t[k] is not None else "-"] for k in t.asDict()])]
-    out += ["## Discrepancies", "", *_shown(None, discrepancies(d).orderBy("resolved_year", "filename"), listed), "### For review", "", *_shown(None, for_review(d).orderBy("filename"), listed)]
+    out += ["## 4. Text", "", *_table(["Measure", "Value"], [[k.replace("_", " "), f"{t[k]:,.1f}" if isinstance(t[k], float) else f"{t[k]:,}" if t[k] is not None else "-"] for k in t.asDict()])]
+    out += ["## 5. Discrepancies", "", *_shown(None, tables["discrepancies"], listed, f"report_{year}_discrepancies"), "### For review", "", *_shown(None, tables["review"], listed, f"report_{year}_review")]
     return "\n".join(out)
 
 
-def _shown(head: list[str] | None, df: DataFrame, listed: int) -> list[str]:
+def _shown(head: list[str] | None, df: DataFrame, listed: int, whole: str) -> list[str]:
     rows = df.limit(listed + 1).collect()
-    more = [f"More than {listed} rows; the rest is in the tables.", ""] if len(rows) > listed else []
+    more = [f"These are the first {listed} rows; the table {whole} has all.", ""] if len(rows) > listed else []
     return _table(head or df.columns, [list(r) for r in rows[:listed]]) + more if rows else ["None.", ""]
 
 

@@ -9,13 +9,31 @@ from statutor.functions import fixed as X
 from statutor.functions.signals import stem
 from statutor.functions.text import quoted, slug, year_or_dash
 from statutor.operators.report import corpus_year_counts, crosstab
+from statutor.sources.tables import ranked
 
 BODY_CHARS = 12_000
 
 
 def note_stem() -> Column:
-    """The note's name: the ordinance number, or the file's name where there is none."""
-    return F.when(F.coalesce("ordinance_number", F.lit("")) != "", F.concat(F.lit("Ordinance No. "), F.col("ordinance_number"))).otherwise(stem(F.col("filename")))
+    """The note's name: the ordinance number, or the file's name where there is none, or "untitled" where there is neither."""
+    return F.when(F.coalesce("ordinance_number", F.lit("")) != "", F.concat(F.lit(X.NUMBERED), F.col("ordinance_number"))).otherwise(F.coalesce(F.nullif(stem(F.col("filename")), F.lit("")), F.lit("untitled")))
+
+
+def note_year() -> Column:
+    return F.coalesce(F.coalesce("corpus_year", "folder_year").cast("string"), F.lit("undated"))
+
+
+def named(df: DataFrame, order: str = "scan_seq") -> DataFrame:
+    """Adds ``note``: the note's own name within its year.
+
+    Of records with the same name the last by ``order`` keeps it and the others get a suffix, so no note is overwritten and
+    every one can be linked. Only names are shuffled for the last, never the texts.
+    """
+    d = df.withColumns({"_year": note_year(), "_stem": note_stem()})
+    last = d.groupBy(F.col("_year").alias("_y"), F.col("_stem").alias("_s")).agg(F.max(order).alias("_last"))
+    d = d.join(last, (F.col("_year") == F.col("_y")) & (F.col("_stem") == F.col("_s")))
+    note = F.when(F.col(order).eqNullSafe(F.col("_last")), F.col("_stem")).otherwise(F.concat("_stem", F.lit(" ("), F.coalesce(F.col(order).cast("string"), F.lit("-")), F.lit(")")))
+    return d.withColumn("note", note).drop("_year", "_stem", "_y", "_s", "_last")
 
 
 def listed(c: str) -> Column:
@@ -25,7 +43,7 @@ def listed(c: str) -> Column:
 
 def tags() -> Column:
     year = F.coalesce("corpus_year", "resolved_year")
-    fixed = [F.lit("ordinance"), F.lit("davao"), F.concat(F.lit("year/"), year), F.concat(F.lit("status/"), F.coalesce("temporal_status", F.lit("unknown"))), F.when(F.col("is_amendatory"), F.lit("type/amendatory")), F.when(F.col("manually_verified"), F.lit("verified/manual"))]
+    fixed = [*map(F.lit, X.NOTE_TAGS), F.concat(F.lit("year/"), year), F.concat(F.lit("status/"), F.coalesce("temporal_status", F.lit("unknown"))), F.when(F.col("is_amendatory"), F.lit("type/amendatory")), F.when(F.col("manually_verified"), F.lit("verified/manual"))]
     return F.array_distinct(F.concat(F.array_compact(F.array(*fixed)), F.transform(listed("subject_keywords"), lambda k: F.concat(F.lit("topic/"), slug(k)))))
 
 
@@ -49,7 +67,7 @@ def front_matter() -> list[tuple[str, Column]]:
 def notes(df: DataFrame, include_text: bool = True, body_chars: int = BODY_CHARS, order: str = "scan_seq") -> DataFrame:
     """Rows (path, content), a note for each record; ``clean_text`` is the body, if the column is there.
 
-    Of records with the same path the last by ``order`` keeps it and the others get a suffix, so none is overwritten.
+    Notes are named first (``named``) and written after, so that no text of a note is shuffled for its name.
     """
     number = F.coalesce("ordinance_number", F.lit(""))
     has_number = number != ""
@@ -57,50 +75,53 @@ def notes(df: DataFrame, include_text: bool = True, body_chars: int = BODY_CHARS
     for k, v in front_matter():
         head.append(F.concat(F.lit(f"{k}: "), v))
         if k == "ordinance_number":
-            head.append(F.when(has_number, F.concat(F.lit("aliases: ["), quoted(F.concat(F.lit("Ordinance No. "), number)), F.lit(", "), quoted(number), F.lit("]"))))
+            head.append(F.when(has_number, F.concat(F.lit("aliases: ["), quoted(F.concat(F.lit(X.NUMBERED), number)), F.lit(", "), quoted(number), F.lit("]"))))
     head += [F.concat(F.lit("tags: ["), F.array_join(tags(), ", "), F.lit("]")), F.lit("---"), F.lit(""), F.concat(F.lit("# "), note_stem()), F.lit("")]
     title = F.coalesce("title", F.lit(""))
     head.append(F.when(title != "", F.concat(F.lit("> "), title, F.lit("\n"))))
     kind = F.when(F.col("temporal_status").isin("misfiled", "out_of_scope"), "warning").otherwise("question")
-    why = F.when(F.coalesce("conflict_notes", F.lit("")) == "", "No conflicting signals recorded.").otherwise(F.col("conflict_notes"))
-    call = F.concat(F.lit("> [!"), kind, F.lit("] Temporal status: "), F.col("temporal_status"), F.lit("\n> Filed under "), F.col("folder_year"), F.lit(", resolved to "), year_or_dash(F.col("resolved_year")), F.lit(" at confidence "), F.format_string("%.2f", F.coalesce("confidence_score", F.lit(0.0))), F.lit(".\n> "), why, F.lit("\n"))
+    why = F.when(F.coalesce("conflict_notes", F.lit("")) == "", X.NO_CONFLICT).otherwise(F.col("conflict_notes"))
+    said = (kind, F.col("temporal_status"), F.col("folder_year").cast("string"), year_or_dash(F.col("resolved_year")), F.format_string("%.2f", F.coalesce("confidence_score", F.lit(0.0))), why)
+    call = F.concat(*(x for fixed, own in zip(X.CALLOUT, said, strict=True) for x in (F.lit(fixed), own)), F.lit("\n"))
     head.append(F.when(F.col("temporal_status") != "valid", call))
-    signals = (("Enactment date", "detected_enactment_year"), ("Ordinance number suffix", "detected_ordinance_no_year"), ("Series header", "detected_series_year"), ("Approval date", "detected_approval_year"))
-    head += [F.lit("## Temporal signals\n\n| Signal | Year |\n| --- | --- |"), *(F.concat(F.lit(f"| {k} | "), year_or_dash(F.col(c)), F.lit(" |")) for k, c in signals), F.concat(F.lit("| **Resolved** | **"), year_or_dash(F.col("resolved_year")), F.lit("** |\n"))]
+    head += [F.lit(X.SIGNAL_TABLE), *(F.concat(F.lit(f"| {k} | "), year_or_dash(F.col(c)), F.lit(" |")) for k, c in X.SIGNAL_ROWS), F.concat(F.lit("| **Resolved** | **"), year_or_dash(F.col("resolved_year")), F.lit("** |\n"))]
     cited = listed("cited_ordinances")
-    head.append(F.when(F.size(cited) > 0, F.concat(F.lit("## Cites or amends\n\n"), F.array_join(F.transform(cited, lambda c: F.concat(F.lit("- [[Ordinance No. "), c, F.lit("]]"))), "\n"), F.lit("\n"))))
-    year = F.coalesce("corpus_year", "folder_year").cast("string")
-    head.append(F.concat(F.lit("## Context\n\n- Year index: [[_Index "), year, F.lit("]]\n- Corpus overview: [[_Corpus MOC]]\n")))
+    head.append(F.when(F.size(cited) > 0, F.concat(F.lit(X.CITES), F.array_join(F.transform(cited, lambda c: F.concat(F.lit(f"- [[{X.NUMBERED}"), c, F.lit("]]"))), "\n"), F.lit("\n"))))
+    head.append(F.concat(F.lit(X.CONTEXT[0]), note_year(), F.lit(X.CONTEXT[1])))
     if include_text and "clean_text" in df.columns:
         body = F.coalesce("clean_text", F.lit(""))
-        cut = F.when(F.length(body) > body_chars, F.concat(F.lit(f"*Truncated to {body_chars:,} of "), F.format_number(F.length(body), 0), F.lit(" characters. Full text: `"), F.coalesce("clean_text_path", F.lit("")), F.lit("`*\n\n"))).otherwise("")
-        head.append(F.when(body != "", F.concat(F.lit("## Cleaned text\n\n"), cut, F.substring(body, 1, body_chars), F.lit("\n"))))
-    base = F.concat(year, F.lit("/"), note_stem())
-    d = df.select(base.alias("_base"), F.col(order).alias("_order"), F.array_join(F.array_compact(F.array(*head)), "\n").alias("content"))
-    last = d.groupBy("_base").agg(F.max("_order").alias("_last"))
-    path = F.when(F.col("_order") == F.col("_last"), F.concat("_base", F.lit(".md"))).otherwise(F.concat("_base", F.lit(" ("), F.col("_order").cast("string"), F.lit(").md")))
-    return d.join(last, "_base").select(path.alias("path"), "content")
+        lead, of, full, end = X.TRUNCATED
+        cut_off = F.when(F.length(body) > body_chars, F.concat(F.lit(f"{lead}{body_chars:,}{of}"), F.format_number(F.length(body), 0), F.lit(full), F.coalesce("clean_text_path", F.lit("")), F.lit(end))).otherwise("")
+        head.append(F.when(body != "", F.concat(F.lit(X.CLEANED), cut_off, F.substring(body, 1, body_chars), F.lit("\n"))))
+    own = df if "note" in df.columns else named(df, order)
+    return own.select(F.concat(note_year(), F.lit("/"), "note", F.lit(".md")).alias("path"), F.array_join(F.array_compact(F.array(*head)), "\n").alias("content"))
 
 
-def index_rows(df: DataFrame) -> DataFrame:
-    """The lines of the year indices: one per record, with its corpus year."""
-    line = (F.coalesce("corpus_year", "folder_year").alias("year"), note_stem().alias("note"), F.substring(F.coalesce("title", F.lit("")), 1, 80).alias("title"), "temporal_status", F.format_string("%.2f", F.coalesce("confidence_score", F.lit(0.0))).alias("confidence"), F.coalesce(F.nullif("enactment_date", F.lit("")), F.lit("-")).alias("enacted"), "filename")
-    return df.select(*line)
+def index_rows(df: DataFrame, order: str = "scan_seq") -> DataFrame:
+    """The lines of the year indices: one per record, with its corpus year and its note's own name."""
+    own = df if "note" in df.columns else named(df, order)
+    line = (F.coalesce("corpus_year", "folder_year").alias("year"), "note", F.substring(F.coalesce("title", F.lit("")), 1, 80).alias("title"), "temporal_status", F.format_string("%.2f", F.coalesce("confidence_score", F.lit(0.0))).alias("confidence"), F.coalesce(F.nullif("enactment_date", F.lit("")), F.lit("-")).alias("enacted"), "filename")
+    return own.select(*line)
 
 
-def year_indices(df: DataFrame) -> DataFrame:
-    """Rows (path, part, content): each year's index in parts of its documents, sorted by file name within a part.
+def year_indices(df: DataFrame, order: str = "scan_seq", size: int = 10_000) -> DataFrame:
+    """Rows (path, part, content): each year's index in parts that follow one another, its documents sorted by file name.
 
-    A part is a letter class of the file name's hash, so that a year of any size is spread over several tasks.
+    Part -1 holds the head, the next ones ``size`` documents each in order, and the last one the foot, so that a year of any
+    size is one ordered file when its parts are written out by number and no task holds a whole year.
     """
+    year = F.coalesce(F.col("year").cast("string"), F.lit("undated"))
+    path = F.concat(year, F.lit("/_Index "), year, F.lit(".md")).alias("path")
     counts = corpus_year_counts(df)
-    head = F.array_join(F.array(F.concat(F.lit("# Ordinance index "), F.col("year")), F.lit(""), F.concat(F.col("total"), F.lit(" document(s).")), F.lit(""), *(F.concat(F.lit(f"| {s} | "), F.col(s), F.lit(" |")) for s in X.STATUSES)), "\n")
-    heads = counts.select(F.concat(F.col("year"), F.lit("/_Index "), F.col("year"), F.lit(".md")).alias("path"), F.lit(-1).alias("part"), head.alias("content"))
-    row = F.concat(F.lit("| [["), F.col("note"), F.lit("]] | "), F.col("title"), F.lit(" | "), F.coalesce("temporal_status", F.lit("")), F.lit(" | "), F.col("confidence"), F.lit(" | "), F.col("enacted"), F.lit(" |"))
-    rows = index_rows(df).select("year", "filename", row.alias("row"))
-    sized = rows.join(counts.select("year", F.ceil(F.col("total") / 10_000).alias("_parts")), "year").withColumn("part", F.pmod(F.xxhash64("filename", "row"), F.col("_parts")).cast("int"))
-    parts = sized.groupBy("year", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("filename", "row"))), lambda x: x["row"]), "\n").alias("content"))
-    return heads.unionByName(parts.select(F.concat(F.col("year"), F.lit("/_Index "), F.col("year"), F.lit(".md")).alias("path"), "part", "content"))
+    head = [F.lit("---"), F.concat(F.lit('title: "Ordinance index '), year, F.lit('"')), F.concat(F.lit("corpus_year: "), year), F.concat(F.lit("document_count: "), F.col("total")), F.concat(F.lit("tags: [index, ordinance, davao, year/"), year, F.lit("]")), F.lit("---"), F.lit(""), F.concat(F.lit("# Ordinance index "), year), F.lit("")]
+    head += [F.concat(F.col("total"), F.lit(" document(s) indexed under corpus year "), year, F.lit(".")), F.lit(""), *map(F.lit, X.INDEX_COUNTS), *(F.concat(F.lit(f"| {s} | "), F.col(s), F.lit(" |")) for s in X.STATUSES), F.lit(""), *map(F.lit, X.INDEX_DOCUMENTS)]
+    foot = "\n".join(["", *X.INDEX_QUERY, "", X.BACK_LINK, ""])
+    heads = counts.select(path, F.lit(-1).alias("part"), F.array_join(F.array(*head), "\n").alias("content"))
+    feet = counts.select(path, F.expr(f"int((total + {size - 1}) div {size})").alias("part"), F.lit(foot).alias("content"))
+    row = F.concat(F.lit("| [["), F.col("note"), F.lit("]] | "), F.col("title"), F.lit(" | "), F.coalesce("temporal_status", F.lit("None")), F.lit(" | "), F.col("confidence"), F.lit(" | "), F.col("enacted"), F.lit(" |"))
+    rows = ranked(index_rows(df, order).select("year", "filename", row.alias("row")), ["year"], ["filename", "row"]).withColumn("part", F.expr(f"int(place div {size})"))
+    parts = rows.groupBy("year", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "row"))), lambda x: x["row"]), "\n").alias("content"))
+    return heads.unionByName(parts.select(path, "part", "content")).unionByName(feet)
 
 
 def corpus_map(df: DataFrame) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+# The columns, conditions and orders of the live queries.
 VIEWS = {
-    "needs_attention": "SELECT filename, folder_year, resolved_year, confidence_score, conflict_notes FROM {records} WHERE temporal_status != 'valid'",
-    "amendment_network": "SELECT filename, ordinance_number, corpus_year, cited_ordinances FROM {records} WHERE is_amendatory",
-    "thin_evidence": "SELECT filename, ordinance_number, temporal_status, confidence_score FROM {records} WHERE confidence_score < 0.5",
-    "year_index": "SELECT corpus_year, ordinance_number, temporal_status, confidence_score, enactment_date FROM {records}",
+    "needs_attention": "SELECT filename, folder_year, resolved_year, confidence_score, conflict_notes FROM {records} WHERE temporal_status != 'valid' ORDER BY confidence_score ASC",
+    "amendment_network": "SELECT filename, ordinance_number, corpus_year, cited_ordinances FROM {records} WHERE is_amendatory ORDER BY corpus_year ASC",
+    "thin_evidence": "SELECT filename, ordinance_number, confidence_score, resolution_source FROM {records} WHERE confidence_score < 0.5 ORDER BY confidence_score ASC",
+    "year_index": "SELECT corpus_year, ordinance_number, temporal_status, confidence_score, enactment_date FROM {records} ORDER BY ordinance_number ASC",
 }
 
 

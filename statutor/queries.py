@@ -9,17 +9,16 @@ from pyspark.sql import functions as F
 
 from statutor.functions import fixed as X
 from statutor.functions import signals as S
-from statutor.functions.anchors import anchors
-from statutor.functions.cleaning import clean
 from statutor.functions.consensus import resolve
-from statutor.functions.metadata import cited_numbers, keywords, title
+from statutor.functions.metadata import keywords
 from statutor.functions.text import percent, quoted, slug, thousands, year_or_dash
 from statutor.operators import curate, duplicates, report, vault
 from statutor.operators.audit import apply_overrides, audit, debug_headers, override_template
 from statutor.plans.views import live
+from statutor import text_queries as TQ
+from statutor.sources import documents as D
 from statutor.sources import overrides as O
-from statutor.sources.documents import choose_page_text, documents_from_pages, method, page_counts
-from statutor.sources.tables import orders_corpus, shared_folder, spread, table
+from statutor.sources.tables import shared_folder, table
 from statutor.streaming.intake import audit_stream, stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,16 +45,7 @@ def index(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "corpus_index")
 
 
-def legal(spark: SparkSession, d: str) -> DataFrame:
-    return orders_corpus(spread(table(spark, d, "orders").select("o_orderkey")))
-
-
 T = "ordinances_eda_summary_all"
-#: The corpus of ``orders_corpus`` in closed form.
-LEGAL = """(SELECT o_orderkey k, (2010 + o_orderkey % 14)::INT y, printf('%04d-%02d', o_orderkey % 10000, (2010 + o_orderkey % 14) % 100) number,
- CASE WHEN o_orderkey % 9 = 0 THEN 2009 + o_orderkey % 14 ELSE 2010 + o_orderkey % 14 END::INT folder_year,
- CASE WHEN o_orderkey % 3 <> 0 THEN 2010 + o_orderkey % 14 + CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END END::INT series,
- CASE WHEN o_orderkey % 5 <> 0 THEN 2010 + o_orderkey % 14 END::INT enacted, CASE WHEN o_orderkey % 7 <> 0 THEN 2010 + o_orderkey % 14 END::INT approved FROM orders)"""
 LOSERS = f"""(SELECT s.*, file_hash IS NOT NULL AND row_number() OVER (PARTITION BY file_hash ORDER BY folder_year NULLS FIRST, filename NULLS FIRST, scan_seq) > 1 loses_hash,
  ordinance_number IS NOT NULL AND row_number() OVER (PARTITION BY ordinance_number ORDER BY NOT coalesce(folder_year = resolved_year, false), confidence_score DESC NULLS LAST, char_count DESC NULLS LAST, scan_seq) > 1 loses_number FROM {T} s)"""
 FLAGGED = f"""(SELECT * EXCLUDE (removal_reason), CASE WHEN coalesce(manually_verified, false) AND temporal_status IS DISTINCT FROM 'out_of_scope' THEN '' WHEN loses_hash OR loses_number THEN 'duplicate'
@@ -70,24 +60,18 @@ VERDICTS = "(SELECT override_id, trim(filename) filename, correct_year, verified
 
 @query("SELECT DISTINCT folder_year FROM pages_in")
 def folder_years(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages_in").select("folder_year").distinct()
+    return D.folder_years(table(spark, d, "pages_in"))
 
 
-@query("""WITH p AS (SELECT file_path, page_index, max((length(trim(coalesce(digital_text, ''), E' \\n\\t\\r')) < 100 AND length(trim(coalesce(ocr_text, ''), E' \\n\\t\\r')) > length(trim(coalesce(digital_text, ''), E' \\n\\t\\r')))::INT) o FROM pages_in GROUP BY ALL)
+@query(f"""WITH p AS (SELECT file_path, page_index, max(by_ocr) o FROM {TQ.PAGE_TEXT} GROUP BY ALL)
 SELECT file_path, count(*)::INT page_count, sum(o)::INT ocr_page_count, CASE WHEN sum(o) = 0 THEN 'Digital' WHEN sum(o) = count(*) THEN 'OCR' ELSE 'Hybrid' END extraction_method FROM p GROUP BY file_path""")
 def extraction_method(spark: SparkSession, d: str) -> DataFrame:
-    return page_counts(table(spark, d, "pages_in"))
-
+    return D.page_counts(table(spark, d, "pages_in"))
 
-_PAGE_TEXT = r"""(SELECT *, CASE WHEN length(trim(d, E' \n\t\r')) < 100 AND length(trim(o, E' \n\t\r')) > length(trim(d, E' \n\t\r')) THEN o ELSE d END page_text, (length(trim(d, E' \n\t\r')) < 100 AND length(trim(o, E' \n\t\r')) > length(trim(d, E' \n\t\r')))::INT by_ocr
- FROM (SELECT *, coalesce(digital_text, '') d, coalesce(ocr_text, '') o FROM pages_in))"""
 
-
-@query(f"""WITH p AS (SELECT file_path, page_index, min(page_text) page_text, min(by_ocr) by_ocr, min(folder_year) folder_year, min(filename) filename FROM {_PAGE_TEXT} GROUP BY file_path, page_index),
- f AS (SELECT file_path, min(folder_year) folder_year, min(filename) filename, string_agg(page_text, chr(10) ORDER BY page_index) "text", count(*)::INT page_count, sum(by_ocr)::INT ocr_page_count FROM p GROUP BY file_path)
-SELECT folder_year, filename, file_path, "text", CASE WHEN ocr_page_count = 0 THEN 'Digital' WHEN ocr_page_count = page_count THEN 'OCR' ELSE 'Hybrid' END AS extraction_method, page_count, ocr_page_count, sha256("text") AS file_hash FROM f""")
+@query(f"SELECT * FROM {TQ.DOCUMENTS}")
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return documents_from_pages(table(spark, d, "pages_in"))
+    return TQ.spark_documents(spark, d)
 
 
 @query("SELECT doc_id, sha256(text) AS content_hash FROM documents")
@@ -136,7 +120,7 @@ def override_template_(spark: SparkSession, d: str) -> DataFrame:
     return override_template(summary(spark, d))
 
 
-# Signals, on texts written from keys.
+# Signals.
 
 
 @query("""SELECT o_orderkey, token, CASE WHEN length(token) = 4 AND token::INT BETWEEN 1900 AND 2035 THEN token::INT WHEN length(token) = 2 THEN CASE WHEN token::INT <= 35 THEN 2000 + token::INT ELSE 1900 + token::INT END END::INT AS suffix_year
@@ -157,58 +141,7 @@ def filename_number(spark: SparkSession, d: str) -> DataFrame:
     return summary(spark, d).select("scan_seq", "filename", number.alias("number"), year.alias("year"))
 
 
-@query(f"SELECT k AS doc_id, number, y AS year, (CASE WHEN k % 4 = 1 THEN 1 WHEN k % 4 = 2 THEN 2 ELSE 0 END)::INT AS rejected FROM {LEGAL}")
-def header_number_rejected(spark: SparkSession, d: str) -> DataFrame:
-    """Own numbers behind none, one or two numbers that are cited."""
-    k = F.col("doc_id")
-    cited = F.when(k % 4 == 1, "Amending Ordinance No. 0100-05\n\n").when(k % 4 == 2, "Pursuant to Ordinance No. 0100-05\nRepealing Ordinance No. 0200-06;\n").otherwise("Under these terms:\n")
-    t = legal(spark, d).select("doc_id", F.concat(cited, "text").alias("text"))
-    return t.select("doc_id", S.header_number(F.col("text")).alias("h")).select("doc_id", "h.number", "h.year", "h.rejected")
-
-
-@query(f"SELECT k AS doc_id, series AS series_year FROM {LEGAL}")
-def series_year(spark: SparkSession, d: str) -> DataFrame:
-    return legal(spark, d).select("doc_id", S.series_year(F.col("text")).alias("series_year"))
-
-
-@query("SELECT o_orderkey, CASE WHEN n > 0 AND 2016 + (n - 18) * 3 BETWEEN 1900 AND 2035 THEN 2016 + (n - 18) * 3 END::INT AS council_year FROM (SELECT o_orderkey, o_orderkey % 40 n FROM orders)")
-def council_year(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat((F.col("o_orderkey") % 40).cast("string"), F.lit("th CITY COUNCIL\n22nd Regular Session"))
-    return table(spark, d, "orders").select("o_orderkey", S.council_year(text).alias("council_year"))
-
-
-@query(f"SELECT k AS doc_id, enacted AS year, CASE WHEN enacted IS NULL THEN 'none' ELSE 'full_date' END AS kind FROM {LEGAL}")
-def enactment_year(spark: SparkSession, d: str) -> DataFrame:
-    return legal(spark, d).select("doc_id", S.enactment(F.col("text")).alias("e")).select("doc_id", "e.year", "e.kind")
-
-
-@query(f"SELECT k AS doc_id, approved AS year, CASE WHEN approved IS NULL THEN 'none' ELSE 'full_date' END AS kind FROM {LEGAL}")
-def approval_year(spark: SparkSession, d: str) -> DataFrame:
-    return legal(spark, d).select("doc_id", S.approval(F.col("text")).alias("a")).select("doc_id", "a.year", "a.kind")
-
-
-# Where an approval follows, its date lies in the enactment's window, and dates with the month first come first.
-@query(f"SELECT k AS doc_id, CASE WHEN enacted IS NOT NULL THEN printf('%d-%02d-%02d', enacted, CASE WHEN approved IS NULL THEN 3 ELSE 4 END, k % 28 + 1) END AS enactment_date, printf('%d-04-%02d', approved, k % 28 + 1) AS approval_date FROM {LEGAL}")
-def full_dates(spark: SparkSession, d: str) -> DataFrame:
-    e, a = S.full_dates(F.col("text"))
-    return legal(spark, d).select("doc_id", e.alias("enactment_date"), a.alias("approval_date"))
-
-
-@query(f"SELECT k AS doc_id, 1 + (enacted IS NOT NULL)::INT + (approved IS NOT NULL)::INT AS n_anchors FROM {LEGAL}")
-def anchor_places(spark: SparkSession, d: str) -> DataFrame:
-    return legal(spark, d).select("doc_id", F.size(anchors(F.col("text"), X.ENACTED + "|" + X.APPROVED + "|council in session")).alias("n_anchors"))
-
-
-_WEIGHT = "(CASE WHEN enacted = r THEN 0.45::DOUBLE ELSE 0 END + CASE WHEN y = r THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN series = r THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN approved = r THEN 0.1::DOUBLE ELSE 0 END - 0.5 * (CASE WHEN enacted <> r THEN 0.45::DOUBLE ELSE 0 END + CASE WHEN y <> r THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN series <> r THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN approved <> r THEN 0.1::DOUBLE ELSE 0 END))"
-
-
-@query(f"""WITH v AS (SELECT *, y AS r FROM {LEGAL}), w AS (SELECT *, greatest(0, least(1, {_WEIGHT})) raw, 1 + (enacted IS NOT NULL)::INT + coalesce(series = r, false)::INT + (approved IS NOT NULL)::INT n FROM v)
-SELECT k AS doc_id, r AS resolved_year, CASE WHEN abs(raw - 0.625) < 1e-9 THEN 0.62 WHEN abs(raw - 0.175) < 1e-9 THEN 0.17 ELSE round(raw, 2) END::DOUBLE AS confidence_score, n AS agreeing_signals,
- CASE WHEN r <> folder_year AND raw >= 0.45 AND (n >= 2 OR enacted = r) THEN CASE WHEN r BETWEEN 2016 AND 2024 THEN 'misfiled' ELSE 'out_of_scope' END WHEN r <> folder_year THEN 'review' WHEN r NOT BETWEEN 2016 AND 2024 THEN 'out_of_scope' ELSE 'valid' END AS temporal_status FROM w""")
-def consensus(spark: SparkSession, d: str) -> DataFrame:
-    s = legal(spark, d).withColumn("s", S.year_signals(F.col("text"), F.col("filename")))
-    s = s.withColumn("r", resolve(F.col("s"), F.col("folder_year"), F.length("text") >= X.TEXT_CHARS))
-    return s.select("doc_id", "r.resolved_year", "r.confidence_score", "r.agreeing_signals", "r.temporal_status")
+TQ.add_to(query)
 
 
 @query(f"""WITH c AS (SELECT resolved_year r, folder_year f, detected_enactment_year enacted, detected_ordinance_no_year y, detected_series_year series, detected_approval_year approved, scan_seq FROM {T}),
@@ -225,12 +158,6 @@ def vote(spark: SparkSession, d: str) -> DataFrame:
 # Cleaning and metadata.
 
 
-@query()
-def clean_stats(spark: SparkSession, d: str) -> DataFrame:
-    c = documents_from_pages(table(spark, d, "pages_in")).select("file_path", clean(F.col("text")).alias("c"))
-    return c.select("file_path", "c.clean_char_count", "c.clean_word_count", "c.removed_chars", "c.dropped_lines", "c.rejoined_words", "c.noise_line_ratio")
-
-
 @query(r"""SELECT text_id, len(regexp_extract_all(clean_text, '(?im)^\s*sec(?:tion|\.)?\s*\d+'))::INT AS section_count, len(regexp_extract_all(clean_text, '(?i)\bwhereas\b'))::INT AS whereas_count, length(clean_text)::INT AS char_count FROM clean_text""")
 def structure_counts(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("clean_text")
@@ -246,17 +173,6 @@ def keywords_(spark: SparkSession, d: str) -> DataFrame:
     return summary(spark, d).select("scan_seq", F.array_join(keywords(F.coalesce("title", F.lit(""))), "; ").alias("subject_keywords"))
 
 
-@query(f"SELECT k AS doc_id, 'AN ORDINANCE ' || CASE WHEN k % 4 = 0 THEN 'AMENDING ORDINANCE NO. ' || printf('%04d', k % 700 + 1) || '-05, SERIES OF 2005, AND ' ELSE '' END || 'REGULATING PUBLIC MARKETS AND FOR OTHER PURPOSES' AS title FROM {LEGAL}", "title")
-def title_(spark: SparkSession, d: str) -> DataFrame:
-    return legal(spark, d).select("doc_id", title(F.col("text")).alias("title"))
-
-
-@query(f"SELECT k AS doc_id, CASE WHEN k % 4 = 0 AND printf('%04d-05', k % 700 + 1) <> number THEN [printf('%04d-05', k % 700 + 1)] ELSE [] END::VARCHAR[] AS cited FROM {LEGAL}")
-def citations(spark: SparkSession, d: str) -> DataFrame:
-    number, _ = S.filename_number(F.col("filename"))
-    return legal(spark, d).select("doc_id", cited_numbers(F.col("text"), number).alias("cited"))
-
-
 @query(rf"SELECT scan_seq, regexp_matches(coalesce(title, ''), '(?i)\bamend(?:ing|ed|atory)\b') AS is_amendatory FROM {T}")
 def amendatory(spark: SparkSession, d: str) -> DataFrame:
     return summary(spark, d).select("scan_seq", F.coalesce("title", F.lit("")).rlike(X.FLAGS + X.AMENDATORY).alias("is_amendatory"))
@@ -267,26 +183,26 @@ def formats(spark: SparkSession, d: str) -> DataFrame:
     return summary(spark, d).select("scan_seq", slug(F.coalesce("title", F.lit(""))).alias("slug"), thousands(F.col("char_count")).alias("chars"), year_or_dash(F.col("resolved_year")).alias("year"), quoted(F.col("title")).alias("quoted"))
 
 
-@query()
+@query(TQ.RECORDS)
 def audit_records(spark: SparkSession, d: str) -> DataFrame:
-    return audit(documents_from_pages(table(spark, d, "pages_in")))
+    return audit(TQ.spark_documents(spark, d))
 
 
-@query()
+@query(TQ.RECORDS)
 def stream_intake(spark: SparkSession, d: str) -> DataFrame:
-    """Pages as they come in, read as a stream and audited one by one into a table of the shared folder."""
-    pages = table(spark, d, "pages_in")
-    name = F.coalesce("filename", F.lit(""))
-    arriving = choose_page_text(stream(spark, f"{d}/pages_in.parquet*", pages.schema))
-    docs = arriving.select("folder_year", name.alias("filename"), F.concat_ws("#", "file_path", F.col("page_id").cast("string")).alias("file_path"), F.col("page_text").alias("text"), method(F.col("by_ocr").cast("int"), F.lit(1)).alias("extraction_method"), F.lit(1).alias("page_count"), F.col("by_ocr").cast("int").alias("ocr_page_count"), F.sha2("page_text", 256).alias("file_hash"))
+    """Documents as they come in, read as a stream and audited into a table of the shared folder, each exactly once."""
     out = shared_folder(spark, "intake")
-    audit_stream(docs, f"{out}/records", f"{out}/progress").awaitTermination()
+    docs = TQ.spark_documents(spark, d)
+    docs.write.parquet(f"{out}/arriving")
+    audit_stream(stream(spark, f"{out}/arriving", docs.schema), f"{out}/records", f"{out}/progress").awaitTermination()
     return spark.read.parquet(f"{out}/records")
 
 
-@query()
+@query(f"""WITH first AS (SELECT * FROM {TQ.DOCUMENTS} ORDER BY file_path LIMIT 8), texts AS MATERIALIZED (SELECT file_path doc, filename, folder_year, coalesce("text", '') t FROM first), {TQ.VOTE},
+ here AS (SELECT doc, arg_min(st, k) st FROM {TQ.places('texts', X.ENACTED + '|' + X.APPROVED)} GROUP BY doc)
+SELECT filename, substring(t, 1, 600) AS head, substring(t, st + 1, 220) AS around_anchor, number AS ordinance_number, number_source AS ordinance_number_source, numbers_match AS filename_header_number_match, rejected AS citation_candidates_rejected, series AS detected_series_year, numbered AS detected_ordinance_no_year, enacted AS detected_enactment_year, approved AS detected_approval_year, enacted_kind AS enactment_date_kind, approved_kind AS approval_date_kind, council_year AS council_term_year FROM texts JOIN judged USING (doc) LEFT JOIN here USING (doc)""")
 def header_sample(spark: SparkSession, d: str) -> DataFrame:
-    return debug_headers(documents_from_pages(table(spark, d, "pages_in"))).select("filename", "head", "around_anchor", "signals.*")
+    return debug_headers(TQ.spark_documents(spark, d)).select("filename", "head", "around_anchor", "signals.*")
 
 
 # The report's aggregates.
@@ -363,8 +279,9 @@ def hash_dups(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.group_totals(summary(spark, d), "file_hash", ["folder_year"])
 
 
-@query(f"""WITH r AS (SELECT *, count(*) OVER (PARTITION BY ordinance_number) n, row_number() OVER (PARTITION BY ordinance_number ORDER BY scan_seq) k FROM {T} WHERE ordinance_number IS NOT NULL)
-SELECT ordinance_number, any_value(n) AS n_files, string_agg(filename, ', ' ORDER BY scan_seq) FILTER (k <= 50) AS files, coalesce(string_agg(DISTINCT resolved_year::VARCHAR, ', ' ORDER BY resolved_year::VARCHAR), 'n/a') AS resolved_years FROM r WHERE n > 1 GROUP BY ordinance_number""")
+@query(f"""WITH r AS (SELECT *, count(*) OVER (PARTITION BY ordinance_number) n, ((row_number() OVER (PARTITION BY ordinance_number ORDER BY scan_seq, filename NULLS FIRST) - 1) // 50)::INT part FROM {T} WHERE ordinance_number IS NOT NULL),
+ y AS (SELECT ordinance_number, coalesce(string_agg(DISTINCT resolved_year::VARCHAR, ', ' ORDER BY resolved_year::VARCHAR), 'n/a') resolved_years FROM r GROUP BY ordinance_number)
+SELECT ordinance_number, part, any_value(n) AS n_files, string_agg(filename, ', ' ORDER BY scan_seq, filename) AS files, any_value(resolved_years) AS resolved_years FROM r JOIN y USING (ordinance_number) WHERE n > 1 GROUP BY ordinance_number, part""")
 def dup_listing(spark: SparkSession, d: str) -> DataFrame:
     return duplicates.listing(summary(spark, d))
 
@@ -436,17 +353,28 @@ def sparse_share(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def notes(spark: SparkSession, d: str) -> DataFrame:
-    s = curate.flag_removals(summary(spark, d))
-    i = s.withColumns({"corpus_year": F.when(curate.trusted(), F.col("resolved_year")).otherwise(F.col("folder_year")), "included_in_corpus": (F.col("removal_reason") == "") & ~F.coalesce("is_sparse", F.lit(False))})
+    i = vault.named(curate.with_corpus_year(curate.flag_removals(summary(spark, d))))
     return vault.notes(i.join(table(spark, d, "clean_text").select("clean_text_path", "clean_text"), "clean_text_path", "left"))
 
 
-@query(f"""SELECT coalesce(corpus_year, folder_year) AS year, CASE WHEN coalesce(ordinance_number, '') <> '' THEN 'Ordinance No. ' || ordinance_number ELSE {_STEM} END AS note, substring(coalesce(title, ''), 1, 80) AS title, temporal_status, printf('%.2f', coalesce(confidence_score, 0)) AS confidence, coalesce(nullif(enactment_date, ''), '-') AS enacted, filename FROM corpus_index""")
+_NOTED = f"""(SELECT *, CASE WHEN scan_seq IS NOT DISTINCT FROM max(scan_seq) OVER (PARTITION BY yr, stem) THEN stem ELSE stem || ' (' || coalesce(scan_seq::VARCHAR, '-') || ')' END note FROM (SELECT *, coalesce(coalesce(corpus_year, folder_year)::VARCHAR, 'undated') yr, CASE WHEN coalesce(ordinance_number, '') <> '' THEN 'Ordinance No. ' || ordinance_number ELSE coalesce(nullif({_STEM}, ''), 'untitled') END stem FROM corpus_index))"""
+_LINES = f"(SELECT coalesce(corpus_year, folder_year) AS year, note, substring(coalesce(title, ''), 1, 80) AS title, temporal_status, printf('%.2f', coalesce(confidence_score, 0)) AS confidence, coalesce(nullif(enactment_date, ''), '-') AS enacted, filename FROM {_NOTED})"
+
+
+@query(f"SELECT * FROM {_LINES}")
 def index_rows(spark: SparkSession, d: str) -> DataFrame:
     return vault.index_rows(index(spark, d))
 
 
-@query()
+_NL = " || chr(10) || "
+_INDEX_HEAD = _NL.join(["'---'", "'title: \"Ordinance index ' || y || '\"'", "'corpus_year: ' || y", "'document_count: ' || n", "'tags: [index, ordinance, davao, year/' || y || ']'", "'---'", "''", "'# Ordinance index ' || y", "''", "n || ' document(s) indexed under corpus year ' || y || '.'", "''", *(f"'{x}'" for x in X.INDEX_COUNTS), *(f"'| {s} | ' || {s} || ' |'" for s in X.STATUSES), "''", *(f"'{x}'" for x in X.INDEX_DOCUMENTS)])
+_INDEX_FOOT = _NL.join(f"'{x}'" for x in ("", *X.INDEX_QUERY, "", X.BACK_LINK, ""))
+
+
+@query(f"""WITH c AS (SELECT coalesce(coalesce(corpus_year, folder_year)::VARCHAR, 'undated') y, count(*) n, {', '.join(f"count(*) FILTER (temporal_status = '{s}') AS {s}" for s in X.STATUSES)} FROM corpus_index GROUP BY 1),
+ l AS (SELECT coalesce(year::VARCHAR, 'undated') y, filename, '| [[' || note || ']] | ' || title || ' | ' || coalesce(temporal_status, 'None') || ' | ' || confidence || ' | ' || enacted || ' |' row FROM {_LINES}),
+ r AS (SELECT y, row, row_number() OVER (PARTITION BY y ORDER BY filename NULLS FIRST, row) - 1 place FROM l)
+SELECT y || '/_Index ' || y || '.md' AS path, part, content FROM (SELECT y, -1 part, {_INDEX_HEAD} AS content FROM c UNION ALL SELECT y, (place // 10000)::INT, string_agg(row, chr(10) ORDER BY place) FROM r GROUP BY y, place // 10000 UNION ALL SELECT y, ((n + 9999) // 10000)::INT, {_INDEX_FOOT} FROM c)""")
 def year_indices(spark: SparkSession, d: str) -> DataFrame:
     return vault.year_indices(index(spark, d))
 
@@ -467,9 +395,9 @@ def needs_attention(spark: SparkSession, d: str) -> DataFrame:
     return live(summary(spark, d), "needs_attention")
 
 
-@query("SELECT filename, ordinance_number, temporal_status, confidence_score FROM corpus_index WHERE confidence_score < 0.5")
+@query(f"SELECT filename, ordinance_number, confidence_score, resolution_source FROM {T} WHERE confidence_score < 0.5")
 def thin_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return live(index(spark, d), "thin_evidence")
+    return live(summary(spark, d), "thin_evidence")
 
 
 @query("SELECT corpus_year, ordinance_number, temporal_status, confidence_score, enactment_date FROM corpus_index")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statutor.functions import fixed as X
 from statutor.functions.text import strip
+from statutor.sources.files import exists
 
 #: What the audit takes in.
 CONTRACT = "folder_year int, filename string, file_path string, text string, extraction_method string, page_count int, ocr_page_count int, file_hash string"
@@ -17,8 +18,7 @@ CONTRACT = "folder_year int, filename string, file_path string, text string, ext
 def scan_folders(spark: SparkSession, root: str, years: Iterable[int] | None = None) -> DataFrame:
     """Rows (file_path, folder_year, filename, file_hash, content) of ``root/<year>/*.pdf``.
 
-    Without ``years`` every folder whose name is all digits is read; given ones are pruned to by path. A folder that is
-    missing gives no rows.
+    Without ``years`` every folder whose name is all digits is read. A folder that is missing gives no rows.
     """
     df = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(root)
     inside = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
@@ -30,27 +30,65 @@ def folder_years(files: DataFrame) -> DataFrame:
     return files.select("folder_year").distinct().orderBy("folder_year")
 
 
-def read_pages(files: DataFrame, reader: Callable[[bytes], list[str]]) -> DataFrame:
-    """Rows (file_path, folder_year, filename, file_hash, page_index, digital_text), by a reader of PDF bytes.
+Reader = Callable[[bytes], list[str]]
+PAGES = "file_path string, folder_year int, filename string, file_hash string, page_index int, digital_text string, ocr_text string, error string"
 
-    A file that the reader fails on has no pages; the job goes on.
+
+def read_pages(files: DataFrame, readers: Reader | Sequence[Reader], ocr: Callable[[bytes, int], str] | None = None) -> DataFrame:
+    """Rows of ``PAGES``, by readers of PDF bytes and a recogniser of single pages.
+
+    Readers are tried in their order until one doesn't fail. A file that all fail on has one row without a page, with
+    what they said in ``error``; the job goes on. ``ocr`` (bytes, page) is asked for pages whose own text is short; where
+    it fails or isn't given, ``ocr_text`` is ''.
     """
-    schema = "file_path string, folder_year int, filename string, file_hash string, page_index int, digital_text string"
+    order = [readers] if callable(readers) else list(readers)
+
+    def own(content: bytes) -> tuple[list[str], str | None]:
+        said = []
+        for reader in order:
+            try:
+                return [p or "" for p in reader(content)], None
+            except Exception as e:  # noqa: BLE001
+                said.append(f"{type(e).__name__}: {e}")
+        return [], "; ".join(said)
+
+    def recognised(content: bytes, index: int, text: str) -> str:
+        if ocr is None or len(text.strip()) >= X.OCR_PAGE_CHARS:
+            return ""
+        try:
+            return ocr(content, index) or ""
+        except Exception:  # noqa: BLE001
+            return ""
 
     def run(batches):  # noqa: ANN001, ANN202
         import pandas as pd
 
         for batch in batches:
-            rows = []
             for r in batch.itertuples():
-                try:
-                    pages = reader(bytes(r.content))
-                except Exception:  # noqa: BLE001
-                    pages = []
-                rows += [(r.file_path, r.folder_year, r.filename, r.file_hash, i, p or "") for i, p in enumerate(pages)]
-            yield pd.DataFrame(rows, columns=["file_path", "folder_year", "filename", "file_hash", "page_index", "digital_text"])
+                content, head = bytes(r.content), (r.file_path, r.folder_year, r.filename, r.file_hash)
+                pages, error = own(content)
+                rows = [(*head, i, p, recognised(content, i, p), None) for i, p in enumerate(pages)] or [(*head, None, None, None, error)]
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in PAGES.split(", ")]).astype({"page_index": "Int32"})
+
+    return files.mapInPandas(run, PAGES)
+
 
-    return files.mapInPandas(run, schema)
+def read_pages_once(files: DataFrame, path: str, readers: Reader | Sequence[Reader], ocr: Callable[[bytes, int], str] | None = None) -> DataFrame:
+    """``read_pages`` with a table of pages at ``path`` that is read first: only files whose content it lacks are read and added.
+
+    Pages are kept by the hash of the file's content and whether a recogniser was at hand, so that neither another file
+    of the same name nor another switch gets the wrong pages. Each file takes the pages of its content.
+    """
+    spark, mode = files.sparkSession, F.lit(ocr is not None)
+    if exists(spark, path):
+        known = spark.read.parquet(path).filter(F.col("with_ocr") == mode)
+        new = files.join(known.select("file_hash").distinct(), "file_hash", "left_anti")
+    else:
+        new = files
+    one_each = new.groupBy("file_hash").agg(F.min_by(F.struct("file_path", "folder_year", "filename", "content"), "file_path").alias("f")).select("file_hash", "f.*")
+    read_pages(one_each, readers, ocr).select("file_hash", "page_index", "digital_text", "ocr_text", "error", mode.alias("with_ocr")).write.mode("append").parquet(path)
+    pages = spark.read.parquet(path).filter(F.col("with_ocr") == mode).drop("with_ocr")
+    return files.select("file_path", "folder_year", "filename", "file_hash").join(pages, "file_hash").select(*(c.split()[0] for c in PAGES.split(", ")))
 
 
 def choose_page_text(pages: DataFrame, use_ocr: bool = True) -> DataFrame:
@@ -67,7 +105,7 @@ def method(ocr_pages, pages):  # noqa: ANN001, ANN201
 def page_counts(pages: DataFrame) -> DataFrame:
     """Rows (file_path, page_count, ocr_page_count, extraction_method), each page index counted once, without the texts."""
     p = choose_page_text(pages).select("file_path", "page_index", "by_ocr").groupBy("file_path", "page_index").agg(F.max("by_ocr").alias("by_ocr"))
-    counts = p.groupBy("file_path").agg(F.count("*").cast("int").alias("page_count"), F.sum(F.col("by_ocr").cast("int")).cast("int").alias("ocr_page_count"))
+    counts = p.groupBy("file_path").agg(F.count("page_index").cast("int").alias("page_count"), F.sum(F.col("by_ocr").cast("int")).cast("int").alias("ocr_page_count"))
     return counts.withColumn("extraction_method", method(F.col("ocr_page_count"), F.col("page_count")))
 
 
@@ -75,16 +113,26 @@ def documents_from_pages(pages: DataFrame) -> DataFrame:
     """One row per ``file_path``, its pages joined by line ends in their order; a page listed twice counts once.
 
     A document's pages come together in one row, so that a row is as large as the largest document; documents are spread
-    by their path, which is unique to a file, never by the scanner's file name.
+    by their path, which is unique to a file, never by the scanner's file name. ``file_hash`` is that of the file's bytes
+    and comes with the pages; pages that have none give documents without one, since their text says nothing about the
+    file: two blank scans are no copies of each other. A file without pages is an empty document.
     """
-    p = choose_page_text(pages).groupBy("file_path", "page_index").agg(F.min(F.struct("page_text", "by_ocr", "folder_year", "filename")).alias("p"))
+    have = pages if "file_hash" in pages.columns else pages.withColumn("file_hash", F.lit(None).cast("string"))
+    p = choose_page_text(have).groupBy("file_path", "page_index").agg(F.min(F.struct("page_text", "by_ocr", "folder_year", "filename")).alias("p"), F.min("file_hash").alias("file_hash"))
     d = p.groupBy("file_path").agg(
-        F.min("p.folder_year").alias("folder_year"), F.min("p.filename").alias("filename"), F.count("*").cast("int").alias("page_count"),
-        F.sum(F.col("p.by_ocr").cast("int")).cast("int").alias("ocr_page_count"), F.array_sort(F.collect_list(F.struct("page_index", "p.page_text"))).alias("all"),
+        F.min("p.folder_year").alias("folder_year"), F.min("p.filename").alias("filename"), F.min("file_hash").alias("file_hash"), F.count("page_index").cast("int").alias("page_count"),
+        F.coalesce(F.sum(F.when(F.col("page_index").isNotNull(), F.col("p.by_ocr").cast("int"))), F.lit(0)).cast("int").alias("ocr_page_count"), F.array_sort(F.collect_list(F.struct("page_index", "p.page_text"))).alias("all"),
     )
     text = F.array_join(F.transform("all", lambda x: x["page_text"]), "\n")
     d = d.withColumns({"text": text, "extraction_method": method(F.col("ocr_page_count"), F.col("page_count"))})
-    return d.withColumn("file_hash", F.sha2("text", 256)).select("folder_year", "filename", "file_path", "text", "extraction_method", "page_count", "ocr_page_count", "file_hash")
+    return d.select("folder_year", "filename", "file_path", "text", "extraction_method", "page_count", "ocr_page_count", "file_hash")
+
+
+def with_file_hashes(pages: DataFrame, records: DataFrame) -> DataFrame:
+    """Pages with the hash that earlier records of their file give, in lower case; the smallest where they differ."""
+    known = F.lower(F.trim("file_hash"))
+    hashes = records.filter(F.length(known) > 0).groupBy("file_path").agg(F.min(known).alias("file_hash"))
+    return pages.drop("file_hash").join(hashes, "file_path", "left")
 
 
 def bronze(documents: DataFrame, path: str) -> DataFrame:

@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
-from pathlib import Path
+from fnmatch import fnmatch
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from statutor.functions.text import plausible, strip
+from statutor.sources.files import exists, is_folder, listed
 
 SCHEMA = "filename string, correct_year string, verified_by string, evidence string, note string"
 
 
-def override_files(root: str, year: int, explicit: str | None = None) -> list[str]:
+def override_files(spark: SparkSession, root: str, year: int, explicit: str | None = None) -> list[str]:
     """The files that hold verdicts on a folder year, in the order in which later ones win. Templates don't count."""
-    data = Path(root) / "data"
-    files = [data / "manual_year_overrides.csv", data / f"manual_year_overrides_{year}.csv"]
+    files = [f"{root}/data/manual_year_overrides.csv", f"{root}/data/manual_year_overrides_{year}.csv"]
     if explicit:
-        e = Path(explicit)
-        files += sorted(e.glob(f"*{year}*.csv")) if e.is_dir() else [e]
-    return [str(f) for f in files if f.exists() and "TEMPLATE" not in f.name]
+        files += [f"{explicit}/{n}" for n in listed(spark, explicit) if fnmatch(n, f"*{year}*.csv")] if is_folder(spark, explicit) else [explicit]
+    return [f for f in files if exists(spark, f) and "TEMPLATE" not in f.rsplit("/", 1)[-1]]
 
 
 def read_overrides(spark: SparkSession, files: dict[str, int | None]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The tables of a corpus folder, and the reference tables as typed frames."""
+"""The tables of a corpus folder, and helpers for data that must survive the loss of an executor."""
 
 from __future__ import annotations
 
@@ -6,16 +6,35 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Only a session on one machine may do without: it gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="statutor-")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for a table that all executors can read: in the one that ``spark.checkpoint.dir`` names, else a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="statutor-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder for a table that all executors can read."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the session's shared folder."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_base(df.sparkSession))
+    return df.checkpoint()
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -28,30 +47,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def orders_corpus(orders: DataFrame) -> DataFrame:
-    """A corpus of ordinances written out from order rows, whose every signal follows from the order's key in closed form.
+def ranked(df: DataFrame, by: list[str], order: list[str], name: str = "place") -> DataFrame:
+    """Adds ``name``: each row's place (from 0) among those of equal ``by``, in the order of ``order``, nulls first.
 
-    It lets the extraction from text be checked against plain arithmetic on the keys. A series is missing for every
-    third key, an enactment for every fifth, an approval for every seventh; every fourth title amends another
-    ordinance, every ninth file lies in the folder of the year before, every eleventh header states another year's series.
+    A group of any size is ranked in slices: rows are sorted into ranges of (``by``, ``order``), ranked within their range,
+    and what earlier ranges hold of the group is added, so that no group comes together in one task.
     """
-    from pyspark.sql import functions as F
-
-    k = F.col("o_orderkey")
-    year = (2010 + k % 14).cast("int")
-    number = F.concat(F.lpad((k % 10000).cast("string"), 4, "0"), F.lit("-"), F.lpad((year % 100).cast("string"), 2, "0"))
-    series = F.when(k % 3 != 0, F.concat(F.lit("\nSeries of "), F.when(k % 11 == 0, year + 1).otherwise(year)))
-    cites = F.when(k % 4 == 0, F.concat(F.lit("AMENDING ORDINANCE NO. "), F.lpad((k % 700 + 1).cast("string"), 4, "0"), F.lit("-05, SERIES OF 2005, AND ")))
-    enacted = F.when(k % 5 != 0, F.concat(F.lit("\nENACTED this "), (k % 28 + 1).cast("string"), F.lit("th day of March, "), year))
-    approved = F.when(k % 7 != 0, F.concat(F.lit("\nAPPROVED: April "), (k % 28 + 1).cast("string"), F.lit(", "), year))
-    none = F.lit("")
-    text = F.concat(
-        F.lit("REPUBLIC OF THE PHILIPPINES\nORDINANCE NO. "), number, F.coalesce(series, none), F.lit("\n\nAN ORDINANCE "), F.coalesce(cites, none), F.lit("REGULATING PUBLIC MARKETS AND FOR OTHER PURPOSES\n\n"),
-        F.lit("BE IT ORDAINED by the council in session assembled:\nSECTION 1. Every stall keeps its lane free of goods, and the treasurer keeps the books.\nSECTION 2. What is contrary to this has no force from this day on."),
-        F.coalesce(enacted, none), F.coalesce(approved, none), F.lit("\n"),
-    )
-    return orders.select(
-        k.alias("doc_id"), F.when(k % 9 == 0, year - 1).otherwise(year).alias("folder_year"), F.concat(F.lit("Ordinance No. "), number, F.lit(".pdf")).alias("filename"),
-        F.concat(F.lit("data/raw/"), k.cast("string"), F.lit(".pdf")).alias("file_path"), text.alias("text"), F.lit("Digital").alias("extraction_method"), F.lit(1).alias("page_count"),
-        F.lit(0).alias("ocr_page_count"), F.sha2(text, 256).alias("file_hash"),
-    )
+    d = cut(df.repartitionByRange(*by, *order).withColumn("_slice", F.spark_partition_id()))
+    sizes = d.groupBy(*by, "_slice").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_slice")) - F.col("_n")
+    heads = sizes.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_slice").alias("_at"), before.alias("_before"))
+    match = F.col("_slice") == F.col("_at")
+    for c in by:
+        match = match & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy(*order)) - 1
+    return d.withColumn("_inside", inside).join(heads, match).select(*df.columns, (F.col("_before") + F.col("_inside")).alias(name))

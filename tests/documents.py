@@ -6,7 +6,7 @@ City of Davao
 22nd Regular Session
 Series of 2016
 ORDINANCE NO. 0116-16
-AN ORDINANCE REGULATING THE OPERATION OF PUBLIC MARKETS AND FOR OTHER PURPOSES
+AN ORDINANCE SETTING THE HOURS AND LANES OF NIGHT STALLS AND FOR OTHER PURPOSES
 WHEREAS, stalls crowd the lanes at noon;
 BE IT ORDAINED by the council:
 SECTION 1. Stalls keep within their lines, and the market mas-
@@ -19,7 +19,7 @@ APPROVED: March 22, 2016
 """
 AMENDING = """ORDINANCE NO. 0118-16
 Series of 2016
-AN ORDINANCE AMENDING ORDINANCE NO. 0234-15, SERIES OF 2015, OTHERWISE KNOWN AS THE TRAFFIC CODE
+AN ORDINANCE AMENDING ORDINANCE NO. 0234-15 AS TO WHERE CARTS MAY WAIT AT BRIDGES
 WHEREAS, Ordinance No. 0234-15 was approved on May 5, 2015;
 WHEREAS, the roads have changed since;
 SECTION 1. Section 4 is hereby amended to read as follows: no one parks at corners.

@@ -48,11 +48,11 @@ def test_dates_citations_and_title(records):
     assert (a["enactment_date"], a["approval_date"]) == ("2016-03-15", "2016-03-22")
     assert (b["enactment_date"], b["approval_date"]) == ("2016-04-05", "2016-04-12")
     assert (c["enactment_date"], c["approval_date"]) == ("2016-06-07", None)  # a stamp gives a year, no date
-    assert b["cited_ordinances"] == "0234-15" and b["is_amendatory"] and b["subject_keywords"] == "traffic; code"
+    assert b["cited_ordinances"] == "0234-15" and b["is_amendatory"] and b["subject_keywords"] == "where; carts; wait; bridges"
     assert b["citation_candidates_rejected"] == 0 and b["filename_header_number_match"]
-    assert a["title"] == "AN ORDINANCE REGULATING THE OPERATION OF PUBLIC MARKETS AND FOR OTHER PURPOSES"
+    assert a["title"] == "AN ORDINANCE SETTING THE HOURS AND LANES OF NIGHT STALLS AND FOR OTHER PURPOSES"
     assert (a["council_term"], a["session_label"], a["section_count"], a["whereas_count"]) == (18, "22nd Regular Session", 2, 1)
-    assert a["subject_keywords"] == "regulating; operation; public; markets"
+    assert a["subject_keywords"] == "setting; hours; lanes; night; stalls"
     assert c["approving_mayor"] == "JUAN DELA CRUZ"
 
 

@@ -1,11 +1,16 @@
-from documents import frame
+import hashlib
+import re
+
+from documents import ALL, frame
 from pyspark.sql import functions as F
 
 from statutor.operators import curate, duplicates, report, vault
 from statutor.operators.audit import apply_overrides, audit, override_template
-from statutor.plans.pipeline import Run, append_manifest, write
+from statutor.plans.pipeline import Run, append_manifest, records, write, write_vault_files
+from statutor.plans.views import live
 from statutor.sources import documents as D
 from statutor.sources import overrides as O
+from statutor.sources.tables import ranked
 from statutor.streaming.intake import audit_stream, stream
 
 RECORD = "scan_seq long, filename string, file_path string, file_hash string, folder_year int, resolved_year int, ordinance_number string, confidence_score double, char_count int, temporal_status string, is_sparse boolean, manually_verified boolean"
@@ -32,6 +37,11 @@ def test_duplicate_losers_are_independent_by_hash_and_number(spark):
 def test_every_file_of_a_repeated_number_is_listed(spark):
     rows = [(i, f"f{i}", f"p{i}", "H", 2016, 2016, "N/A", 1.0, 9, "valid", False, False) for i in range(120)]
     rows += [(500, "x", "p", "H", 2016, None, "1-16", 1.0, 9, "valid", False, False), (501, "y", "p", "H", 2016, 2017, None, 1.0, 9, "valid", False, False), (502, "y", "p", "H", 2016, 2017, None, 1.0, 9, "valid", False, False)]
+    parts = duplicates.listing(recs(spark, rows)).orderBy("part").collect()
+    assert [(r["ordinance_number"], r["part"], r["n_files"]) for r in parts] == [("N/A", k, 120) for k in range(3)]
+    assert ", ".join(r["files"] for r in parts) == ", ".join(f"f{i}" for i in range(120)) and {r["resolved_years"] for r in parts} == {"2016"}
+    by_path = duplicates.listing(recs(spark, rows), row_order="file_path")
+    assert sum(len(r["files"].split(", ")) for r in by_path.collect()) == 120
     got = duplicates.listed_files(recs(spark, rows)).orderBy("scan_seq").collect()
     assert [tuple(r) for r in got] == [("N/A", i, f"f{i}", 2016, 120) for i in range(120)]
 
@@ -82,9 +92,9 @@ def test_override_files(spark, tmp_path):
     (tmp_path / "data").mkdir()
     for n, body in (("manual_year_overrides.csv", "filename,correct_year\nx.pdf,2017\n"), ("manual_year_overrides_2016.csv", "filename,correct_year,evidence\nx.pdf,2018.0,seal\ny.pdf,18\n"), ("manual_year_overrides_TEMPLATE_2016.csv", "filename,correct_year\nx.pdf,2001\n")):
         (tmp_path / "data" / n).write_text(body)
-    files = O.override_files(str(tmp_path), 2016)
+    files = O.override_files(spark, str(tmp_path), 2016)
     assert [f.rsplit("/", 1)[1] for f in files] == ["manual_year_overrides.csv", "manual_year_overrides_2016.csv"]
-    assert len(O.override_files(str(tmp_path), 2016, str(tmp_path / "data"))) == 3
+    assert len(O.override_files(spark, str(tmp_path), 2016, str(tmp_path / "data"))) == 3
     d = O.read_overrides(spark, {files[0]: None, files[1]: 2016})
     assert {(r["filename"], r["folder_year"], r["correct_year"]) for r in O.merged(d).collect()} == {("x.pdf", None, 2017), ("x.pdf", 2016, 2018)}
 
@@ -117,7 +127,63 @@ def test_folder_scan_and_reader(spark, tmp_path):
             raise ValueError
         return ["one", None]
 
-    assert [(r["filename"], r["page_index"], r["digital_text"]) for r in D.read_pages(files, reader).orderBy("page_index").collect()] == [("c.pdf", 0, "one"), ("c.pdf", 1, "")]
+    rows = D.read_pages(files, reader).orderBy("filename", "page_index").collect()
+    assert [(r["filename"], r["page_index"], r["digital_text"]) for r in rows] == [("a.pdf", None, None), ("c.pdf", 0, "one"), ("c.pdf", 1, "")]
+    assert rows[0]["error"] == "ValueError: " and rows[1]["error"] is None
+
+
+def test_from_folders_of_files_to_records(spark, tmp_path):
+    """Scan, readers in their order, a recogniser of pages, documents and records, with the files' own hashes."""
+    bodies = {"2016/Ordinance No. 0116-16.pdf": b"digital", "2016/blank one.pdf": b"blank1", "2016/blank two.pdf": b"blank2", "2016/broken.pdf": b"broken", "2017/scan.pdf": b"scan", "2017/copy of scan.pdf": b"scan"}
+    for name, body in bodies.items():
+        (tmp_path / "raw" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "raw" / name).write_bytes(body)
+    read = spark.sparkContext.accumulator(0)
+
+    def first(content):
+        raise RuntimeError("no such backend")
+
+    def second(content):
+        read.add(1)
+        if content == b"broken":
+            raise ValueError("bad file")
+        return {b"digital": ["ORDINANCE NO. 0116-16\n" + "a rule of stalls " * 20], b"scan": ["", "p" * 150]}.get(content, ["", " "])
+
+    def ocr(content, index):
+        if content == b"scan":
+            return f"Series of 2017, page {index}. " + "scanned words " * 12
+        raise OSError
+
+    files = D.scan_folders(spark, str(tmp_path / "raw"))
+    pages = D.read_pages_once(files, str(tmp_path / "pages"), [first, second], ocr)
+    docs = D.documents_from_pages(pages)
+    got = {r["filename"]: r for r in audit(docs).collect()}
+    assert {n: got[n.split("/")[1]]["file_hash"] for n in bodies} == {n: hashlib.sha256(b).hexdigest() for n, b in bodies.items()}
+    assert [(got[n]["extraction_method"], got[n]["page_count"], got[n]["ocr_page_count"]) for n in ("scan.pdf", "Ordinance No. 0116-16.pdf", "broken.pdf")] == [("Hybrid", 2, 1), ("Digital", 1, 0), ("Digital", 0, 0)]
+    assert pages.filter("filename = 'broken.pdf'").first()["error"] == "RuntimeError: no such backend; ValueError: bad file"
+    assert got["scan.pdf"]["detected_series_year"] == 2017 and got["broken.pdf"]["temporal_status"] == "unresolved"
+    flagged = {r["filename"]: r["removal_reason"] for r in curate.flag_removals(audit(docs), row_order="file_path").collect()}
+    assert flagged["blank one.pdf"] == flagged["blank two.pdf"] == "sparse_or_unreadable"  # blank scans are no copies of each other
+    assert sorted(flagged[n] for n in ("scan.pdf", "copy of scan.pdf")) == ["", "duplicate"]
+    once = read.value
+    assert D.read_pages_once(files, str(tmp_path / "pages"), [first, second], ocr).count() == pages.count()
+    assert read.value == once > 0  # nothing is read again
+    assert D.read_pages_once(files, str(tmp_path / "pages"), [first, second]).filter("ocr_text != ''").count() == 0
+
+
+def test_pages_without_bytes_have_no_hash(spark):
+    p = spark.createDataFrame([(1, "a", 2016, "p/a", 0, "", None), (2, "b", 2016, "p/b", 0, None, " ")], PAGE)
+    assert [r["file_hash"] for r in D.documents_from_pages(p).collect()] == [None, None]
+    known = spark.createDataFrame([("p/a", " AB "), ("p/a", "CD"), ("p/b", " "), ("p/b", None)], "file_path string, file_hash string")
+    assert {r["file_path"]: r["file_hash"] for r in D.documents_from_pages(D.with_file_hashes(p, known)).collect()} == {"p/a": "ab", "p/b": None}
+
+
+def test_ranks_of_a_group_that_is_most_of_the_table(spark):
+    rows = [("hot", i * 7 % 1000) for i in range(1000)] + [("cold", i) for i in range(9)] + [(None, 5), (None, None)]
+    d = spark.createDataFrame(rows, "k string, v int").repartition(7)
+    got = sorted((r["k"] or "", -1 if r["v"] is None else r["v"], r["place"]) for r in ranked(d, ["k"], ["v"]).collect())
+    want = sorted([("hot", i, i) for i in range(1000)] + [("cold", i, i) for i in range(9)] + [("", -1, 0), ("", 5, 1)])
+    assert got == want
 
 
 def test_bronze_round_trip(spark, tmp_path):
@@ -162,14 +228,63 @@ def test_run_writes_everything(spark, tmp_path):
 
 def test_report_of_a_run_lists_repeated_numbers(spark, tmp_path):
     out = str(tmp_path / "out")
-    places = write(frame(spark), out, Run(reports=[2016]))
+    places = write(frame(spark), out, Run(reports=[2016], all_years=True))
     d = spark.read.parquet(places["records"]).filter("folder_year = 2016")
-    want = duplicates.listed_files(d, "file_path").collect()
+    want = duplicates.listing(d, "file_path").collect()
     text = (tmp_path / "out" / "report_2016.md").read_text(encoding="utf-8")
-    number = want[0]["ordinance_number"]
-    row = next(x for x in text.split("\n") if x.startswith(f"| {number} | {want[0]['n_files']} | "))
-    assert all(r["filename"] in row for r in want if r["ordinance_number"] == number)
-    assert sorted(map(repr, spark.read.parquet(f"{out}/report_2016_duplicates").collect())) == sorted(map(repr, want))
+    assert want and all(f"| {r['ordinance_number']} | {r['n_files']} | {r['files']} | {r['resolved_years']} |" in text for r in want)
+    whole = spark.read.parquet(f"{out}/report_2016_duplicates").collect()
+    assert sorted(r["files"] for r in whole) == sorted(r["files"] for r in want)
+    assert spark.read.parquet(f"{out}/report_2016_review").count() == 1
+    assert text.index("## 1.") < text.index("## 2.") < text.index("| Ordinance No. |") < text.index("## 3.") < text.index("## 4.") < text.index("## 5.")
+    short = report.render_year(d, 2016, listed=0)
+    assert "the table report_2016_duplicates has all" in short
+
+
+def test_run_takes_the_years_it_is_asked_for(spark, tmp_path):
+    docs = frame(spark, [(y, f"Ordinance No. 0001-{y % 100}.pdf", "text") for y in (2009, 2016, 2024, 2025)])
+    took = lambda run: sorted(r["folder_year"] for r in records(docs, run).collect())
+    assert took(Run()) == [2016, 2024] and took(Run(all_years=True)) == [2009, 2016, 2024, 2025] and took(Run(years=[2025])) == [2025]
+
+
+def test_plans_are_in_order_and_move_the_path(spark, tmp_path):
+    places = write(frame(spark), str(tmp_path), Run(purge=True, sample=3))
+    plan = spark.read.parquet(places["plan_removal"]).collect()
+    assert [(r["removal_reason"], r["filename"]) for r in plan] == sorted((r["removal_reason"], r["filename"]) for r in plan)
+    paths = {r["filename"]: r["file_path"] for r in spark.read.option("header", True).csv(places["corpus_index"]).collect()}
+    assert plan and all(paths[r["filename"]] == r["quarantine_path"] for r in plan)
+    assert spark.read.parquet(places["plan_purge"]).filter("action = 'purge'").count() == len(plan)
+    assert spark.read.json(places["headers"]).count() == 3
+    texts = spark.read.parquet(places["clean_text"])
+    assert texts.join(spark.read.parquet(places["records"]).select("clean_text_path"), "clean_text_path").count() == texts.count() == 8
+
+
+def test_live_queries_are_sorted(spark):
+    d = audit(frame(spark)).withColumns({"corpus_year": F.col("folder_year")})
+    got = [r["confidence_score"] for r in live(d, "thin_evidence").collect()]
+    assert got == sorted(got) and len(got) == 2 and "resolution_source" in live(d, "thin_evidence").columns
+    got = [r["confidence_score"] for r in live(d, "needs_attention").collect()]
+    assert got == sorted(got)
+
+
+def test_notes_without_number_or_year_and_links_to_equal_names(spark, tmp_path):
+    d = curate.flag_removals(audit(frame(spark)), row_order="file_path")
+    d = curate.with_corpus_year(d).withColumns({"ordinance_number": F.when(F.col("filename").contains("0135"), None).otherwise(F.col("ordinance_number")), "filename": F.when(F.col("filename").contains("0135"), None).otherwise(F.col("filename"))})
+    d = d.withColumns({c: F.when(F.col("filename").isNull(), None).otherwise(F.col(c)) for c in ("corpus_year", "folder_year")})
+    n = vault.named(d, "file_path")
+    pages = vault.notes(n, order="file_path").withColumn("part", F.lit(0))
+    assert pages.count() == pages.select("path").distinct().count() == len(ALL)
+    parts = vault.year_indices(n, "file_path", size=3)
+    vault_table = pages.unionByName(parts)
+    write_vault_files(vault_table, str(tmp_path / "vault"))
+    write_vault_files(vault_table, str(tmp_path / "vault"))
+    files = {str(p.relative_to(tmp_path / "vault")): p.read_text(encoding="utf-8") for p in (tmp_path / "vault").rglob("*.md")}
+    assert "undated/untitled.md" in files and "undated/_Index undated.md" in files
+    index = files["2016/_Index 2016.md"]
+    linked = re.findall(r"^\| \[\[(.+?)\]\]", index, re.MULTILINE)
+    assert len(linked) == len(set(linked)) == 6 and all(f"2016/{x}.md" in files for x in linked)
+    names = [r["filename"] for r in d.filter("corpus_year = 2016").orderBy("filename").collect()]
+    assert len(names) == 6 and index.startswith("---\ntitle: \"Ordinance index 2016\"") and index.rstrip().endswith("Back to [[_Corpus MOC]]")
 
 
 def test_stream_gives_what_the_batch_gives(spark, tmp_path):
@@ -206,4 +321,4 @@ def test_entry_imports_without_training_data_operators(monkeypatch):
 def test_vault_of_nothing(spark):
     d = curate.flag_removals(audit(frame(spark, [])), row_order="file_path").withColumns({"corpus_year": F.col("folder_year"), "included_in_corpus": F.lit(True)})
     assert vault.notes(d, order="file_path").count() == 0
-    assert vault.year_indices(d).count() == 0
+    assert vault.year_indices(d, "file_path").count() == 0
