@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+__all__ = ["WordHashes", "batches_of_chars", "cut", "fold_width", "is_blank", "join_term_stats", "table"]
+
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,24 +11,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from statutor.sources.tables import cut
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the session's shared folder.
-
-    ``spark.checkpoint.dir`` names that folder on a cluster and is taken as it is; only where it is unset
-    (tests, a laptop) a folder of our own is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="statutor-checkpoint-"))
-    return df.checkpoint()
-
-
 class WordHashes(dict):
     """64-bit hashes of words, each made once; emptied when it has grown large."""
 
