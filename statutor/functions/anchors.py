@@ -8,21 +8,22 @@ from pyspark.sql import functions as F
 from statutor.functions import fixed
 
 
+_MARK = "\x01"
+
+
 def anchors(text: Column, pattern: str) -> Column:
     """``array<struct<st, en>>``: begin and end (0-based, exclusive) of each match, in order; empty for null.
 
-    The pieces between the matches and the matches themselves alternate, so a running sum of their lengths gives the
-    places. The pattern must not match the empty text.
+    Each match is set between marks in one pass of the pattern, and the text is split at the marks: gaps and matches
+    alternate, so a running sum of their lengths gives the places. The pattern must not match the empty text.
     """
-    p = fixed.FLAGS + pattern
-    t = F.coalesce(text, F.lit(""))
-    sizes = F.zip_with(F.split(t, p, -1), F.regexp_extract_all(t, F.lit(p), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<st:int,en:int>>").alias("out"))
+    t = F.translate(F.coalesce(text, F.lit("")), _MARK, " ")  # as long as before
+    sizes = F.transform(F.split(F.regexp_replace(t, fixed.FLAGS + pattern, f"{_MARK}$0{_MARK}"), _MARK, -1), F.length)
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.array().cast("array<struct<st:int,en:int>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        st = acc["at"] + x["gap"]
-        en = st + F.coalesce(x["hit"], F.lit(0))
-        return F.struct(en.alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(st.alias("st"), en.alias("en"))))).alias("out"))
+    def step(acc: Column, n: Column) -> Column:
+        en = acc["at"] + n
+        return F.struct(en.alias("at"), (~acc["hit"]).alias("hit"), F.when(acc["hit"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("st"), en.alias("en"))))).otherwise(acc["out"]).alias("out"))
 
     return F.aggregate(sizes, start, step)["out"]
 
@@ -35,8 +36,3 @@ def before(text: Column, at: Column, chars: int) -> Column:
 
 def after(text: Column, at: Column, chars: int) -> Column:
     return F.substring(text, at + 1, F.lit(chars))
-
-
-def first_found(items: Column) -> Column:
-    """The first item that isn't null, or null."""
-    return F.get(F.filter(items, lambda x: x.isNotNull()), F.lit(0))

@@ -22,15 +22,30 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 
 def nfkc(text: Column) -> Column:
-    """Unicode compatibility composition. Only texts with characters beyond ASCII go through Python."""
-    return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+    """Unicode compatibility composition. Only texts that it may change go through Python: those with characters beyond ASCII
+    other than the quotes, dashes and signs that stay as they are and are common here."""
+    return F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F‘’“”–—‐§¬\xAD]"), text)), text)
+
+
+#: Words whose repair finds the right spelling too, so that nearly every text has them.
+_COMMON = ("SERIES", "SECTION")
 
 
 def repaired(text: Column) -> Column:
     """Compatible characters, plain quotes and dashes, and the words put right that this corpus often has misread."""
-    t = F.translate(nfkc(text), *_QUOTES)
+    rare = [(seen, right) for seen, right in X.OCR_REPAIRS if right not in _COMMON]
+
+    def put_right(t: Column) -> Column:
+        """Of the words that few texts have, one pass says whether there are any."""
+        few = t
+        for seen, right in rare:
+            few = F.regexp_replace(few, X.FLAGS + seen, right)
+        return F.when(t.rlike(X.FLAGS + "|".join(seen for seen, _ in rare)), few).otherwise(t)
+
+    t = let(F.translate(nfkc(text), *_QUOTES), put_right)
     for seen, right in X.OCR_REPAIRS:
-        t = F.regexp_replace(t, X.FLAGS + seen, right)
+        if right in _COMMON:
+            t = F.regexp_replace(t, X.FLAGS + seen, right)
     return t
 
 
@@ -41,7 +56,7 @@ def clean(text: Column) -> Column:
     runs of blanks and of empty lines are shortened. Null and empty texts give an empty text and zeros.
     """
     furniture = lambda x: x.rlike(X.FLAGS + X.PAGE_FURNITURE)
-    masthead = lambda x: F.regexp_replace(F.lower(x), r"^[.,:;\-]+|[.,:;\-]+$", "").isin(*X.MASTHEADS)
+    masthead = lambda x: F.btrim(F.lower(x), F.lit(".,:;-")).isin(*X.MASTHEADS)
     noise = lambda x: x.rlike("(?d)" + X.NOISE_LINE)
     kind = lambda x: F.when(x == "", "kept").when(furniture(x) | masthead(x), "dropped").when(noise(x), "noise").otherwise("kept")
 

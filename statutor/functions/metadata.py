@@ -33,11 +33,11 @@ def keywords(title_: Column) -> Column:
     return F.slice(F.array_distinct(F.filter(words, lambda w: ~w.isin(*X.STOP_WORDS))), 1, KEYWORDS)
 
 
-def metadata(text: Column, clean_text: Column, own_number: Column) -> Column:
-    """All fields of the bibliographic record, texts being '' where they are missing."""
+def metadata(text: Column, clean_text: Column, own_number: Column, known: Column | None = None) -> Column:
+    """All fields of the bibliographic record, texts being '' where they are missing; ``known`` are the text's ``marks``."""
     t = F.coalesce(text, F.lit(""))
     given = lambda c: F.coalesce(strip(c), F.lit(""))
-    enacted, approved = full_dates(t)
+    enacted, approved = full_dates(t, known)
     signed = lambda name, office: F.when(t.rlike(X.FLAGS + r"\n\s*" + office), only_first(t, name))
     found = F.struct(title(t).alias("name"), cited_numbers(t, own_number).alias("cited"))
 

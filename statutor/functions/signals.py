@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from statutor.functions import fixed as X
-from statutor.functions.anchors import after, anchors, before, first_found
+from statutor.functions.anchors import after, anchors, before
 from statutor.functions.text import first_group, let, only_first, plausible
 
 
@@ -88,32 +88,51 @@ def year_near(segment: Column, bare: bool = True) -> Column:
     """``struct<year, kind>`` of a date: full dates in the order of their patterns, then a bare year of the first half."""
 
     def kinds(seg: Column) -> Column:
-        full = [plausible(first_group(seg, p, g)) for p, g in ((X.MONTH_FIRST, 2), (X.DAY_FIRST, 2), (X.NUMERIC_DATE, 1))]
+        full = [plausible(only_first(seg, p, g)) for p, g in ((X.MONTH_FIRST, 2), (X.DAY_FIRST, 2), (X.NUMERIC_DATE, 1))]
         found = [(y, "full_date") for y in full]
         if bare:
-            found.append((plausible(first_group(F.substring(seg, 1, X.DATE_WINDOW // 2), X.BARE_YEAR)), "bare_year"))
+            found.append((plausible(only_first(F.substring(seg, 1, X.DATE_WINDOW // 2), X.BARE_YEAR)), "bare_year"))
         return F.coalesce(*(let(y, _of_kind(k)) for y, k in found))
 
     return let(segment, kinds)
 
 
-def _dated(text: Column, places: Column) -> Column:
-    return first_found(F.transform(F.filter(places, lambda a: ~is_cited(text, a["st"])), lambda a: year_near(after(text, a["en"], X.DATE_WINDOW))))
+def own_places(text: Column, pattern: str) -> Column:
+    """The places of a pattern's matches that stand in no reference to another instrument."""
+    return F.filter(anchors(text, pattern), lambda a: ~is_cited(text, a["st"]))
+
+
+def marks(text: Column) -> Column:
+    """``struct<enacted, approved>``: the places that enactment, approval and their dates are read from, found once."""
+    return F.struct(own_places(text, X.ENACTED).alias("enacted"), own_places(text, X.APPROVED).alias("approved"))
+
+
+def first_of(places: Column, read: Callable[[Column], Column], kind: str) -> Column:
+    """What ``read`` gives for the first place where it gives anything; later places aren't read."""
+    return F.aggregate(places, F.lit(None).cast(kind), lambda seen, a: F.coalesce(seen, read(a)))
+
+
+_YEAR = "struct<year:int,kind:string>"
+
+
+def _dated(text: Column, own: Column) -> Column:
+    return first_of(own, lambda a: year_near(after(text, a["en"], X.DATE_WINDOW)), _YEAR)
 
 
 def _or_none(found: Column) -> Column:
     return F.coalesce(found, F.struct(F.lit(None).cast("int").alias("year"), F.lit("none").alias("kind")))
 
 
-def enactment(text: Column) -> Column:
-    """``struct<year, kind>``, reading forward over the anchors of enactment."""
-    return _or_none(_dated(text, anchors(text, X.ENACTED)))
+def enactment(text: Column, own: Column | None = None) -> Column:
+    """``struct<year, kind>``, reading forward over the anchors of enactment (``own``, if they are known)."""
+    return _or_none(_dated(text, own_places(text, X.ENACTED) if own is None else own))
 
 
-def approval(text: Column) -> Column:
-    """``struct<year, kind>``, reading backward: after the last approvals first, else around the signatures."""
-    around = F.transform(F.reverse(anchors(text, X.SIGNATURE)), lambda a: year_near(after(text, F.greatest(a["st"] - X.DATE_WINDOW, F.lit(0)), 2 * X.DATE_WINDOW), bare=False))
-    return _or_none(F.coalesce(_dated(text, F.reverse(anchors(text, X.APPROVED))), first_found(around)))
+def approval(text: Column, own: Column | None = None) -> Column:
+    """``struct<year, kind>``, reading backward: after the last approvals (``own``) first, else around the signatures."""
+    around = lambda a: year_near(after(text, F.greatest(a["st"] - X.DATE_WINDOW, F.lit(0)), 2 * X.DATE_WINDOW), bare=False)
+    signed = first_of(F.reverse(anchors(text, X.SIGNATURE)), around, _YEAR)
+    return _or_none(F.coalesce(_dated(text, F.reverse(own_places(text, X.APPROVED) if own is None else own)), signed))
 
 
 def iso_date(segment: Column) -> Column:
@@ -125,30 +144,30 @@ def iso_date(segment: Column) -> Column:
 
     def _parts(hit: Column, pattern: str) -> Column:
         day = F.get(F.filter(F.regexp_extract_all(hit, F.lit(r"(?U)\d{1,4}"), F.lit(0)), lambda d: (F.length(d) <= 2) & d.try_cast("int").between(1, 31)), F.lit(0))
-        p = F.struct(months[F.lower(first_group(hit, f"({X.MONTH})"))].alias("m"), day.try_cast("int").alias("d"), plausible(first_group(hit, pattern, 2)).alias("y"))
+        p = F.struct(months[F.lower(first_group(hit, f"({X.MONTH})"))].alias("m"), day.try_cast("int").alias("d"), plausible(only_first(hit, pattern, 2)).alias("y"))
         return let(p, lambda p: F.when(p["m"].isNotNull() & p["d"].isNotNull() & p["y"].isNotNull(), p))
 
     def date(seg: Column) -> Column:
-        p = F.coalesce(*(let(first_group(seg, pattern, 0), parts(pattern)) for pattern in (X.MONTH_FIRST, X.DAY_FIRST)))
+        p = F.coalesce(*(let(only_first(seg, pattern, 0), parts(pattern)) for pattern in (X.MONTH_FIRST, X.DAY_FIRST)))
         return let(p, lambda p: F.date_format(F.try_to_date(F.format_string("%04d-%02d-%02d", p["y"], p["m"], p["d"]), "yyyy-MM-dd"), "yyyy-MM-dd"))
 
     return let(segment, date)
 
 
-def full_dates(text: Column) -> tuple[Column, Column]:
-    """ISO dates of enactment and approval."""
-
-    def dated(places: Column) -> Column:
-        return first_found(F.transform(F.filter(places, lambda a: ~is_cited(text, a["st"])), lambda a: iso_date(after(text, a["en"], X.DATE_WINDOW))))
-
-    return dated(anchors(text, X.ENACTED)), dated(F.reverse(anchors(text, X.APPROVED)))
+def full_dates(text: Column, known: Column | None = None) -> tuple[Column, Column]:
+    """ISO dates of enactment and approval, from ``marks``."""
+    dated = lambda own: first_of(own, lambda a: iso_date(after(text, a["en"], X.DATE_WINDOW)), "string")
+    own = marks(text) if known is None else known
+    return dated(own["enacted"]), dated(F.reverse(own["approved"]))
 
 
-def year_signals(text: Column, filename: Column) -> Column:
-    """All signals with where they come from, as one struct. Null texts and names give no signal."""
+def year_signals(text: Column, filename: Column, known: Column | None = None) -> Column:
+    """All signals with where they come from, as one struct; ``known`` are the text's ``marks``, if there are. Null texts and
+    names give no signal."""
     t = F.coalesce(text, F.lit(""))
+    enacted, approved = (None, None) if known is None else (known["enacted"], known["approved"])
     file_no, file_year = filename_number(filename)
-    found = F.struct(file_no.alias("no"), file_year.alias("year"), header_number(t).alias("head"), enactment(t).alias("en"), approval(t).alias("ap"), series_year(t).alias("series"), council_year(t).alias("council"))
+    found = F.struct(file_no.alias("no"), file_year.alias("year"), header_number(t).alias("head"), enactment(t, enacted).alias("en"), approval(t, approved).alias("ap"), series_year(t).alias("series"), council_year(t).alias("council"))
 
     def flat(f: Column) -> Column:
         head = f["head"]

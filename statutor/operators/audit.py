@@ -9,7 +9,7 @@ from statutor.functions import fixed as X
 from statutor.functions.cleaning import clean
 from statutor.functions.consensus import resolve
 from statutor.functions.metadata import metadata
-from statutor.functions.signals import year_signals
+from statutor.functions.signals import marks, year_signals
 from statutor.functions.text import n_words, strip
 from statutor.sources.overrides import merged
 
@@ -30,11 +30,11 @@ def audit(documents: DataFrame, window: tuple[int, int] = X.STUDY_WINDOW, clean_
     Signals come from the raw text, so that cleaning never moves a year. A null text is an empty one.
     """
     text = F.coalesce("text", F.lit(""))
-    d = documents.withColumn("_signals", year_signals(text, F.col("filename")))
-    d = d.withColumns({"_resolution": resolve(F.col("_signals"), F.col("folder_year"), F.length(strip(text)) >= X.TEXT_CHARS, window), "_clean": clean(text)})
-    d = d.withColumn("_meta", metadata(text, F.col("_clean.clean"), F.col("_signals.ordinance_number")))
+    d = documents.withColumns({"_marks": marks(text), "_stripped": F.length(strip(text)), "_clean": clean(text)})
+    d = d.withColumn("_signals", year_signals(text, F.col("filename"), F.col("_marks")))
+    d = d.withColumns({"_resolution": resolve(F.col("_signals"), F.col("folder_year"), F.col("_stripped") >= X.TEXT_CHARS, window), "_meta": metadata(text, F.col("_clean.clean"), F.col("_signals.ordinance_number"), F.col("_marks"))})
     d = d.withColumns({
-        "char_count": F.length(text), "word_count": n_words(text), "is_sparse": F.length(strip(text)) < X.SPARSE_CHARS,
+        "char_count": F.length(text), "word_count": n_words(text), "is_sparse": F.col("_stripped") < X.SPARSE_CHARS,
         "chars_per_page": F.when(F.col("page_count") > 0, F.round(F.length(text) / F.col("page_count"), 1)).otherwise(0.0),
         "resolution_source": F.lit("consensus"), "manually_verified": F.lit(False),
         "clean_text_path": F.when(F.lit(clean_root) == "", "").otherwise(F.concat(F.lit(clean_root + "/"), F.col("folder_year"), F.lit("/"), F.regexp_replace("filename", r"\.[^.]*$", ""), F.lit(".txt"))),
