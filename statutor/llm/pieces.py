@@ -19,7 +19,8 @@ KINDS = ("anywhere", "word", "clause", "sentence", "line", "paragraph", "section
 
 _WORDS = "|".join(w if w == "§" else rf"\b{w}\b" for w in HEADING_WORDS)
 _HEADING = re.compile(rf"(?:{_WORDS})\.?[ \t]*(?P<number>[0-9OolI]*[0-9][0-9OolI]*|[IVXLC]+)(?:(?P<mark>[ \t]*[.:][-–—]?|[ \t]+[-–—])(?=\s)|\b)", re.IGNORECASE)
-_REFERENCE = re.compile(r"\s*(?:[a-z,;()]|(?i:ordinance|resolution|republic|act)\b)")
+_REFERENCE = re.compile(r"\s*(?:[a-z,;()]|(?i:ordinance|resolution|republic|act|of|this|also)\b)")
+_SENTENCE_BEGINS = re.compile(r"[ \t]+[A-Z]")
 _PARAGRAPH = re.compile(r"\n[ \t]*(?:\n[ \t]*)+")
 _LINE = re.compile(r"\n[ \t]*")
 _SENTENCE = re.compile(r"[.!?][\"”’)]*\s+(?=[\"“‘(]?[A-Z§0-9])")
@@ -53,8 +54,9 @@ def section_starts(text: str) -> list[int]:
     A heading is a heading word, a number and a mark (``.`` ``:`` ``.-`` ``–``), beginning a line or following the end
     of a sentence; "Section 7 of ..." has no mark and is a reference. What stands inside a quotation that is closed
     again belongs to another instrument; a quotation counts as closed only if its closing mark comes before the next
-    opening one, so a lost mark doesn't hide the sections after it. A line that begins as a heading but whose mark is
-    damaged counts if its number is missing between, before or after the numbers of the others.
+    opening one, so a lost mark doesn't hide the sections after it. A heading without its mark, at the beginning of a line or
+    of a sentence, counts if its number is missing beside one that is there, and it stands in the numbers' order; that number
+    is there for the next one then.
     """
     marks = [(m.start(), m[0] == "“") for m in re.finditer("[“”]", text)]
     places = [p for p, _ in marks]
@@ -69,14 +71,24 @@ def section_starts(text: str) -> list[int]:
         if before == "“":
             continue
         if not m["mark"]:
-            if own_line and not _REFERENCE.match(text, m.end()):
+            if not _REFERENCE.match(text, m.end()) and (own_line or (before in _ENDS and _SENTENCE_BEGINS.match(text, m.end()))):
                 damaged.append((m.start(), _value(m["number"])))
         elif own_line or before in _ENDS or not m[0][0].islower():
             out[m.start()] = _value(m["number"])
-    for at, n in damaged:
-        own = set(out.values())
-        if n not in own and (n - 1 in own or n + 1 in own):
-            out[at] = n
+    first, last = {}, {}
+    for at, n in sorted(out.items()):
+        first.setdefault(n, at)
+        last[n] = at
+    more = len(damaged)
+    while more:
+        more, rest = 0, []
+        for at, n in damaged:
+            if n not in first and (n - 1 in first or n + 1 in first) and first.get(n - 1, -1) < at < last.get(n + 1, len(text)):
+                out[at] = first[n] = last[n] = at
+                more += 1
+            else:
+                rest.append((at, n))
+        damaged = rest
     return sorted(out)
 
 

@@ -64,3 +64,9 @@ def test_audit_of_section_counts(spark):
     idx = spark.createDataFrame([(7, "p1", 3), (7, "p1", 3), (8, "p1", None), (9, None, 2)], "scan_seq long, clean_text_path string, section_count int")
     got = {r["scan_seq"]: (r["n_sections"], r["agrees"]) for r in section_audit(idx, texts, split_oversized(texts, "text_id", "clean_text", with_text=False)).collect()}
     assert got == {7: (3, True), 8: (3, False), 9: (None, False)}
+
+
+def test_headings_without_their_marks_follow_the_numbers():
+    text = "Section 1 – Title. Name.\nSection 2 – Terms. Words. Section 3 Every stall counts. Section 4 No one shall shout; \nSection 5 The office acts.\nSection 9 Stray line.\nSection 14 OF this Code holds. As Section 6 The rule says."
+    starts = section_starts(text)
+    assert [text[s : s + 9] for s in starts] == ["Section 1", "Section 2", "Section 3", "Section 4", "Section 5"]
