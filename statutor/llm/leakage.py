@@ -10,7 +10,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from statutor.sources.tables import spread
+
+from statutor.sources.tables import cut, spread
 
 _JOIN = re.compile("\u00ad|-[ \\t]*\\r?\\n[ \\t]*")
 _WORD = re.compile(r"[^\W_]+")
@@ -104,14 +105,15 @@ def scan(text: str, auto: ahocorasick.Automaton, items: list[tuple[object, list[
     return found
 
 
-def find_leaks(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, window: int = 12, max_item_chars: int = 50_000_000) -> DataFrame:
+def find_leaks(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, window: int = 12, max_item_chars: int = 4_000_000) -> DataFrame:
     """Rows (key, item_key, n_runs, longest_run, item_share, start_at, end_at): each text with each item it holds.
 
     A text holds an item if at least ``window`` consecutive words of the item occur in it; ``longest_run`` counts words,
     ``item_share`` is the share of the item's words found, ``start_at`` and ``end_at`` bound the longest run (the first
     of equals) in the original text, in code points. The items go to each task as one Aho-Corasick automaton, so their
-    size is checked first: sets of more than ``max_item_chars`` characters are split by item into several scans,
-    which together find the same. Null and empty texts hold nothing, items of fewer than ``window`` words are in
+    size is checked first. A set of more than ``max_item_chars`` characters (some 400 MB as an automaton) is split by item
+    into several scans, which together find the same: one part at a time is read, sent out, scanned for and dropped again, so
+    that neither the driver nor a task ever holds more. Null and empty texts hold nothing, items of fewer than ``window`` words are in
     none; a null key of an item is kept. Repeated rows give repeated results; repeated items are scanned for once.
     """
     own = items.select(item_key, item_text).filter(F.col(item_text).isNotNull()).distinct()
@@ -143,6 +145,9 @@ def find_leaks(df: DataFrame, key: str, text: str, items: DataFrame, item_key: s
         names = [key, item_key, "n_runs", "longest_run", "item_share", "start_at", "end_at"]
         items_type = _arrow(items, item_key)
         found = spread(df.select(key, text)).mapInArrow(run, schema)
+        if parts > 1:
+            found = cut(found)
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
