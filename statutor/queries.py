@@ -301,6 +301,23 @@ def removal_reasons(spark: SparkSession, d: str) -> DataFrame:
     return curate.flag_removals(summary(spark, d)).select("scan_seq", "removal_reason")
 
 
+@query(f"""SELECT scan_seq, CASE WHEN coalesce(manually_verified, false) AND temporal_status IS DISTINCT FROM 'out_of_scope' THEN '' WHEN loses_hash OR loses_number THEN 'duplicate' WHEN temporal_status = 'out_of_scope' THEN 'out_of_scope' WHEN temporal_status = 'misfiled' THEN 'misfiled'
+ WHEN temporal_status = 'review' THEN 'low_confidence_review' WHEN temporal_status = 'unresolved' THEN 'unresolved' WHEN coalesce(is_sparse, false) THEN 'sparse_or_unreadable' ELSE '' END AS removal_reason FROM {LOSERS}""")
+def removal_reasons_all(spark: SparkSession, d: str) -> DataFrame:
+    """With every category switched on."""
+    return curate.flag_removals(summary(spark, d), X.CATEGORIES).select("scan_seq", "removal_reason")
+
+
+@query(f"SELECT scan_seq, CASE WHEN removal_reason <> '' THEN concat_ws('/', 'data/quarantine', removal_reason, folder_year::VARCHAR, filename) ELSE file_path END AS file_path FROM {FLAGGED}")
+def paths_after_removal(spark: SparkSession, d: str) -> DataFrame:
+    return curate.after_removal(curate.flag_removals(summary(spark, d))).select("scan_seq", "file_path")
+
+
+@query(f"SELECT filename, file_path AS original_path, '' AS quarantine_path, 'purge' AS action, removal_reason, folder_year, resolved_year, confidence_score, ordinance_number FROM {FLAGGED} WHERE removal_reason <> ''")
+def purge_plan(spark: SparkSession, d: str) -> DataFrame:
+    return curate.purge_plan(curate.flag_removals(summary(spark, d)))
+
+
 @query(f"SELECT removal_reason, count(*) AS n FROM {FLAGGED} WHERE removal_reason <> '' GROUP BY removal_reason")
 def removal_counts(spark: SparkSession, d: str) -> DataFrame:
     return report.removal_counts(curate.flag_removals(summary(spark, d)))
