@@ -44,7 +44,9 @@ def _token(t: str) -> str:
     return t.translate(_CLASSES)
 
 
+# Two caches, since a mark at a word's end is a glyph to one fold and none to the other.
 _FOLDED: dict[str, str] = {}
+_FOLDED_WORDS: dict[str, str] = {}
 _UPPER, _LOWER = re.compile("[A-Z]"), re.compile("[a-z]")
 
 
@@ -119,12 +121,12 @@ def _case_of(s: str) -> str:
 
 
 def _word(w: str) -> str:
-    f = _FOLDED.get(w)
+    f = _FOLDED_WORDS.get(w)
     if f is None:
-        if len(_FOLDED) > 500_000:
-            _FOLDED.clear()
+        if len(_FOLDED_WORDS) > 500_000:
+            _FOLDED_WORDS.clear()
         bare = w.strip(_MARKS)
-        f = _FOLDED[w] = _token(bare) if bare else w[:3]
+        f = _FOLDED_WORDS[w] = _token(bare) if bare else w[:3]
     return f
 
 
@@ -186,7 +188,7 @@ def own_features(line: str) -> tuple[str, ...]:
     words = (_TAIL.sub("", s) if tail else s).split() or s.split()
     n, case = len(words), _case_of(s)
     short = n <= 7
-    near = [_FOLDED.get(w) or _word(w) for w in (words if short else (*words[:3], *words[-2:]))]
+    near = [_FOLDED_WORDS.get(w) or _word(w) for w in (words if short else (*words[:3], *words[-2:]))]
     c, e = s[0], s[-1]
     first = "l" if c.islower() else "U" if c.isupper() else "d" if c.isdigit() else c
     numeral = len(s) < 24 and bool(numbers_in(line))
